@@ -69,9 +69,29 @@ def learn_dictionaries(
     chosen = marked.join(F.broadcast(wanted), ["lang", "b", "m"]).dropDuplicates(["lang", "b"]).select("lang", "m", "t").collect()
     parts: dict[str, list] = {}
     for name, m, t in chosen:
-        parts.setdefault(name, []).append((m, words_only(t.encode())))
+        parts.setdefault(name, []).append((m, t))
     # In order of the number of labels, which decides ties.
-    return {r["lang"]: b" ".join(t for _, t in sorted(parts.get(r["lang"], [])))[-dict_bytes:] for r in named}
+    samples = {r["lang"]: [t for _, t in sorted(parts.get(r["lang"], []))] for r in named}
+    return {name: content[-dict_bytes:] for name, content in _own_lines(samples).items()}
+
+
+def _own_lines(samples: dict[str, list[str]]) -> dict[str, bytes]:
+    """The contents without lines that another language's texts compress better.
+
+    Passages in a foreign language would otherwise stand for the language of the
+    document that holds them.  One half of the texts judges the other's lines.
+    """
+    halves = [{name: [[words_only(x.encode()) for x in t.split("\n")] for t in texts[h::2]] for name, texts in samples.items()} for h in (0, 1)]
+    kept: dict[str, list[bytes]] = {name: [] for name in samples}
+    for mine, other in (halves, halves[::-1]):
+        judge = Compressors({name: b" ".join(x for t in texts for x in t) for name, texts in other.items()})
+        for name, texts in mine.items():
+            at = judge.names.index(name)
+            for line in (x for t in texts for x in t if x):
+                totals = judge.totals(line, CHUNK)
+                if not other[name] or totals[at] <= totals.min() * 1.02:
+                    kept[name].append(line)
+    return {name: b" ".join(lines) for name, lines in kept.items()}
 
 
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))

@@ -32,8 +32,8 @@ from .common import cut, own, table, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
-OPEN_BINS = 4096
-GROUP_PIECES = 250_000
+OPEN_BINS = 32_768
+GROUP_PIECES = 100_000
 #: Tokenized words that a worker keeps; a full memory is emptied, never relied on.
 MEMORY_WORDS = 400_000
 
