@@ -18,6 +18,8 @@ full pieces, of which only the last may be shorter.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -35,7 +37,7 @@ END_ID = 1
 OPEN_BINS = 32_768
 GROUP_PIECES = 100_000
 #: Tokenized words that a worker keeps; a full memory is emptied, never relied on.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_500_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -46,11 +48,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A run of Latin letters (ASCII lowered), then signs that end a word and never join a letter.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:|%$#&*]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level letters: printable Latin-1 bytes stand for themselves, others for 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordTokenizer:
     """Ids of whole texts, put together from the ids of their words.
 
     The vocabulary drops white space and never joins across it, so the ids of a
-    text are those of its parts between ASCII white space, in order.
+    text are those of its parts between ASCII white space, in order.  A plain
+    word goes to the vocabulary's merges directly; any other part is encoded in
+    full, and so is a text that may hold a special token.
     """
 
     def __init__(self, path: str):
@@ -59,29 +73,53 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > MEMORY_WORDS:
-            self.known.clear()
-        unknown = sorted(words)
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            found = self.model.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found, strict=True):
-                self.known[word] = np.array(ids.ids, "<u4").tobytes()
+        # What is in a word's way from text to merges; only this one is known to be safe.
+        self.direct = '"Lowercase"' in self.whole.to_str() and '"end_of_word_suffix":"</w>"' in self.whole.to_str()
+
+    def encode(self, part: str) -> bytes:
+        return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, core: bytes) -> bytes:
+        letters = core.decode()
+        if not core.isascii():
+            letters = letters.lower().encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, part: bytes) -> bytes:
+        plain = _PLAIN.fullmatch(part) if self.direct else None
+        if plain is None:
+            ids = self.encode(part.decode())
+        else:
+            core, tail = plain.groups()
+            ids = self.known.get(core) if tail else None
+            if ids is None:
+                ids = self.word(core)
+            if tail:
+                end = self.known.get(tail)
+                if end is None:
+                    end = self.known[tail] = self.encode(tail.decode())
+                ids += end
+        if len(part) <= 64:
+            self.known[part] = ids
+        return ids
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words) - self.known.keys())
-            if len(self.known) >= len(set(words)) and all(w in self.known for w in set(words)):
-                return b"".join(map(self.known.__getitem__, words))
-            self.learn(set(words))  # the memory was emptied meanwhile
-            return b"".join(map(self.known.__getitem__, words))
+        if b"<|" in text or not self.direct:
+            return self.encode(text.decode())
+        words = text.lower().split()
+        get = self.known.get
+        found = [get(w) for w in words]
+        if None in found:
+            learn = self.learn
+            found = [f if f is not None else get(w) or learn(w) for f, w in zip(found, words, strict=True)]
+            if len(self.known) > MEMORY_WORDS:
+                self.known.clear()
+        return b"".join(found)
 
 
 def _tokenizer(path: str) -> WordTokenizer:
