@@ -22,6 +22,7 @@ rate; repeated rows score alike; extra columns are carried through.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,21 +113,21 @@ class _Rows:
     """Sentences as flat feature lists."""
 
     def __init__(self):
-        self.memory: dict[bytes, list[int]] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = []
+        self.memory: dict[bytes, array] = {}
+        self.flat = array("i")
+        self.ends = array("q")
 
     def add(self, sentence: set[bytes]) -> None:
         for word in sorted(sentence):
             got = self.memory.get(word)
             if got is None:
-                got = self.memory[word] = word_features(word)
+                got = self.memory[word] = array("i", word_features(word))
             self.flat.extend(got)
         self.ends.append(len(self.flat))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
-        return flat, np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        return flat, np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.concatenate(([0], ends))))
 
 
 def swapped(sentence: set[bytes], terms: dict[str, list[str]]) -> list[tuple[set[bytes], set[bytes]]]:
@@ -180,7 +181,8 @@ def fit(
         right.add(other)
     flat, at = rows.arrays()
     n_rows = len(rows.ends)
-    owner_ = np.array(owner)
+    del rows.memory, rows.flat
+    owner_ = np.array(owner, np.int64)
     # Document frequencies of the features under both labels start the weights.
     doc_rows = at < n_doc_rows
     seen = np.unique(owner_[at[doc_rows]] * np.int64(BUCKETS) + flat[doc_rows])
@@ -196,6 +198,7 @@ def fit(
     r_flat, r_at = right.arrays()
     grad2 = np.full(BUCKETS, 1e-8)
     grad2_bias = 1e-8
+    del seen, doc_rows
     for _ in range(rounds):
         logit = np.bincount(at, weights[flat], minlength=n_rows) + bias
         # The worst sentence of each toxic document, and those almost as bad.
