@@ -46,15 +46,24 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts: a task holds one batch and a part of it in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_batches(
     df: DataFrame,
     compute: Callable[[pa.RecordBatch], dict[str, list | pa.Array]],
     added: list[T.StructField],
     drop: tuple[str, ...] = (),
+    at_end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with columns that ``compute`` makes for each Arrow batch.
 
     Columns named as an added one, and those in ``drop``, are replaced.
+    ``at_end`` is called after a task's last batch, as workers outlive tasks.
     """
     gone = {f.name for f in added} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in gone]
@@ -62,13 +71,15 @@ def with_batches(
     arrow = {f.name: to_arrow_type(f.dataType) for f in added}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = compute(batch)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             for name, kind in arrow.items():
                 value = made[name]
                 columns.append(value if isinstance(value, pa.Array) else pa.array(value, kind))
             yield pa.RecordBatch.from_arrays(columns, [*names, *arrow])
+        if at_end is not None:
+            at_end()
 
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 

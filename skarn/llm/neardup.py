@@ -67,6 +67,10 @@ def _word_codes(words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     words = (text or b"").lower().split()
@@ -125,7 +129,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
 
     narrow = docs.select(F.col(id_col).alias(own("id")), F.col(text_col).cast("string").alias(own("t")))
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField(own("x"), T.LongType()), T.StructField(own("y"), T.LongType())]
-    return with_batches(narrow, compute, [*fields, T.StructField(own("bands"), T.ArrayType(T.LongType()))], drop=(own("t"),))
+    return with_batches(narrow, compute, [*fields, T.StructField(own("bands"), T.ArrayType(T.LongType()))], drop=(own("t"),), at_end=_forget)
 
 
 # --- connected components ---------------------------------------------------
@@ -179,7 +183,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shin
 
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias(own("t")))
     wanted = texts.join(nodes, "node", "left_semi")
-    return with_batches(wanted, compute, [T.StructField("set", T.ArrayType(T.LongType()))], drop=(own("t"),))
+    return with_batches(wanted, compute, [T.StructField("set", T.ArrayType(T.LongType()))], drop=(own("t"),), at_end=_forget)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, own, table, text_bytes
+from .common import cut, own, slices, table, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 32_768
 GROUP_PIECES = 100_000
-#: Tokenized words that a worker keeps; a full memory is emptied, never relied on.
-MEMORY_WORDS = 1_500_000
+#: Tokenized words that a task keeps; a full memory is emptied, never relied on.
+MEMORY_WORDS = 800_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -192,7 +192,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path)
         step = 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(text_bytes(batch.column(1))):
                 data = encode(text or b"") + end
@@ -215,6 +215,7 @@ def token_pieces(
             if keep_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        encode.known = {}  # workers outlive their tasks
 
     return source.mapInArrow(run, T.StructType(fields))
 

@@ -199,7 +199,7 @@ def top_k(
     asked = rows.filter(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(q_blocks)).cast("int"))
     queries = cut(_packed(asked, "qb", dim).withColumnsRenamed({"ids": "q_ids", "m": "q_m"}))
     none = F.lit(None).cast("binary").alias("least")
-    seed = queries.withColumn("g", F.lit(0)).join(packed, "g").select("q_ids", "q_m", "ids", "m", none)
+    seed = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(0)))).join(packed, "g").select("q_ids", "q_m", "ids", "m", none)
     found = cut(_search(seed, rotation, dim, k, head))
     if at <= 1:
         return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
