@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own, row_key, table, text_bytes, with_batches
+from .common import cut, own, row_key, table, text_bytes, with_batches
 
 WINDOW = 13
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 1_000_000
 #: Contaminated: some hit and at least 1 in SHARE words hit.
 SHARE = 20
 #: Bytes to words: A-Z lowered, every other ASCII byte but 0-9 and a-z a blank.
@@ -55,65 +57,99 @@ def rolled(codes: np.ndarray, length: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of one part of the benchmark; what tasks get by broadcast."""
+    """The windows of one part of the benchmark; what tasks get by broadcast.
+
+    Words are numbered, so a window is a place in one array of numbers: a hash, a
+    place and the numbers of its items are kept, some 40 bytes in all.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.codes: dict[bytes, int] = {}
-        self.owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        self.names: list[str] = sorted({item for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        flat, at, starts = array("I"), 0, defaultdict(list)
         for item, text in items:
             words = fold(text).split()
+            flat.extend([self.codes.setdefault(w, len(self.codes) + 1) for w in words])
             size = min(window, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                self.owners[tuple(words[i : i + size])].add(item)
-        for gram in self.owners:
-            for word in gram:
-                self.codes.setdefault(word, len(self.codes) + 1)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for gram in self.owners:
-            codes = np.array([self.codes[w] for w in gram], np.uint64)
-            by_length[len(gram)].append(int(rolled(codes, len(gram))[0]))
-        self.hashes = {n: np.unique(np.array(h, np.uint64)) for n, h in by_length.items()}
+            if size:
+                starts[size].append((np.arange(at, at + len(words) - size + 1), number[item]))
+            at += len(words)
+        self.flat = np.array(flat, np.uint32)
+        self.by_length = {n: self._distinct(n, found) for n, found in starts.items()}
+
+    def _distinct(self, length: int, found: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, ...]:
+        """Hashes in order, a place of each distinct window, and where its items begin."""
+        places = np.concatenate([p for p, _ in found])
+        items = np.repeat(np.array([i for _, i in found], np.int64), [len(p) for p, _ in found])
+        grams = np.lib.stride_tricks.sliding_window_view(self.flat, length)[places]
+        _, first, which = np.unique(grams, axis=0, return_index=True, return_inverse=True)
+        hashes = np.zeros(len(first), np.uint64)
+        for i in range(0, len(first), 4096):
+            part = grams[first[i : i + 4096]].astype(np.uint64)
+            hashes[i : i + 4096] = rolled(part.ravel(), length)[::length]
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        owned = np.unique(rank[which.ravel()] * len(self.names) + items)
+        ends = np.searchsorted(owned, np.arange(len(order) + 1) * len(self.names))
+        return hashes[order], places[first[order]], (owned % len(self.names)).astype(np.int32), ends
+
+    def _verified(self, codes: np.ndarray, length: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of runs that are windows, and which windows, word for word."""
+        hashes, places, _, _ = self.by_length[length]
+        hashed = rolled(codes, length)[starts]
+        at, step = np.searchsorted(hashes, hashed), np.arange(length)
+        good, which = [], []
+        while len(starts):
+            alike = at < len(hashes)
+            alike[alike] = hashes[at[alike]] == hashed[alike]
+            starts, at, hashed = starts[alike], at[alike], hashed[alike]
+            same = (self.flat[places[at][:, None] + step] == codes[starts[:, None] + step]).all(axis=1)
+            good.append(starts[same])
+            which.append(at[same])
+            starts, at, hashed = starts[~same], at[~same] + 1, hashed[~same]  # other words, equal hash
+        return np.concatenate([*good, np.zeros(0, np.int64)]), np.concatenate([*which, np.zeros(0, np.int64)])
 
     def scan(self, data: bytes) -> tuple[list[bytes], np.ndarray | None, set[str]]:
         """The words, which of them are hit (None: none), and the items found."""
         words = data.split()
         found: set[str] = set()
-        if not self.owners or not words:
+        if not self.by_length or not words:
             return words, None, found
         get = self.codes.get
         codes = np.fromiter([get(w, 0) for w in words], np.uint64, len(words))
-        hit = None
-        for length, hashes in self.hashes.items():
+        # A window lies in a run of known words; most texts have no long one.
+        known = np.concatenate(([0], np.cumsum(codes != 0)))
+        edges = None
+        for length, (_, _, owned, ends) in self.by_length.items():
             if length > len(words):
                 continue
-            # A window lies in a run of known words; most texts have no long one.
-            known = np.concatenate(([0], np.cumsum(codes != 0)))
             starts = np.flatnonzero(known[length:] - known[:-length] == length)
             if not len(starts):
                 continue
-            hashed = rolled(codes, length)[starts]
-            at = np.searchsorted(hashes, hashed)
-            at[at == len(hashes)] = 0
-            for i in starts[hashes[at] == hashed].tolist():
-                owners = self.owners.get(tuple(words[i : i + length]))
-                if owners:
-                    found |= owners
-                    if hit is None:
-                        hit = np.zeros(len(words), bool)
-                    hit[i : i + length] = True
-        return words, hit, found
-
-
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_windows: int):
-    """The benchmark in parts of about ``max_windows`` words, so of no more windows."""
+            starts, which = self._verified(codes, length, starts)
+            if not len(starts):
+                continue
+            if edges is None:
+                edges = np.zeros(len(words) + 1, np.int64)
+            edges[starts] += 1
+            edges[starts + length] -= 1
+            for w in np.unique(which).tolist():
+                found.update([self.names[i] for i in owned[ends[w] : ends[w + 1]].tolist()])
+        return words, None if edges is None else np.cumsum(edges[:-1]) > 0, found
+
+
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_windows: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of parts of about ``max_windows`` words, so of no more windows,
+    and the parts, of which the driver holds one at a time."""
     words = F.regexp_count(F.col(own("t")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
     items = benchmark.select(F.col(item_col).cast("string").alias(own("i")), F.col(text_col).cast("string").alias(own("t")))
     items = items.filter(F.col(own("i")).isNotNull() & F.col(own("t")).isNotNull())
     total = items.agg(F.sum(words)).first()[0] or 0
     n = max(1, ceil(total / max_windows))
-    for part in range(n):
-        rows = items if n == 1 else items.filter(F.pmod(F.xxhash64(own("i"), own("t")), F.lit(n)) == part)
-        yield [(r[0], r[1].encode()) for r in rows.collect()]
+    chosen = lambda part: items if n == 1 else items.filter(F.pmod(F.xxhash64(own("i"), own("t")), F.lit(n)) == part)
+    return n, ([(r[0], r[1].encode()) for r in chosen(part).collect()] for part in range(n))
 
 
 def scan_documents(
@@ -132,9 +168,9 @@ def scan_documents(
     ``clean_text`` adds clean_text: the text without its hit spans.
     """
     spark = docs.sparkSession
-    parts = list(_parts(benchmark, item_col, "text", window, max_windows))
-    if len(parts) == 1:
-        return _scan_once(docs, spark.sparkContext.broadcast(Windows(parts[0], window)), text_col, share, clean_text)
+    n, parts = _parts(benchmark, item_col, "text", window, max_windows)
+    if n == 1:
+        return _scan_once(docs, spark.sparkContext.broadcast(Windows(next(parts), window)), text_col, share, clean_text)
     return _scan_parts(docs, parts, text_col, window, share, clean_text)
 
 
@@ -178,7 +214,10 @@ def _scan_once(docs: DataFrame, shared, text_col: str, share: int, clean_text: b
 
 
 def _scan_parts(docs: DataFrame, parts, text_col: str, window: int, share: int, clean_text: bool) -> DataFrame:
-    """One pass for each part of a benchmark too large for one broadcast."""
+    """One pass for each part of a benchmark too large for one broadcast.
+
+    The hits of a pass are cut before the next, so one broadcast lives at a time.
+    """
     context = docs.sparkSession.sparkContext
     a, b = row_key(text_col)
     keyed = docs.withColumn(own("a"), a).withColumn(own("b"), b)
@@ -196,7 +235,8 @@ def _scan_parts(docs: DataFrame, parts, text_col: str, window: int, share: int,
             return {own("spans"): spans, own("items"): items}
 
         narrow = keyed.select(own("a"), own("b"), F.col(text_col).alias(own("t")))
-        hits = with_batches(narrow, compute, fields, drop=(own("t"),)).filter(F.col(own("spans")).isNotNull())
+        hits = cut(with_batches(narrow, compute, fields, drop=(own("t"),)).filter(F.col(own("spans")).isNotNull()))
+        shared.destroy()
         passes = hits if passes is None else passes.unionByName(hits)
     merged = passes.groupBy(own("a"), own("b")).agg(
         F.collect_set(own("spans")).alias(own("spans")),
@@ -227,14 +267,10 @@ def _scan_parts(docs: DataFrame, parts, text_col: str, window: int, share: int,
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    judged = scan_documents(docs.withColumn(own("keep"), F.lit(0)), benchmark, **options)
-    clash = [c for c in docs.columns if c in {f.name for f in _FIELDS}]
-    if clash:  # columns of the caller with our names come back unchanged
-        renamed = docs.select(*[F.col(c).alias(own("c_" + c)) if c in clash else F.col(c) for c in docs.columns])
-        judged = scan_documents(renamed, benchmark, **options)
-        kept = judged.filter(~F.col("contaminated"))
-        return kept.select(*[F.col(own("c_" + c)).alias(c) if c in clash else F.col(c) for c in docs.columns])
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    # Columns of the caller with our names come back unchanged.
+    names = {c: own("c_" + c) if c in {*(f.name for f in _FIELDS), "clean_text"} else c for c in docs.columns}
+    judged = scan_documents(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), benchmark, **options)
+    return judged.filter(~F.col("contaminated")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def items_digest(items: list[str]) -> str:

@@ -22,6 +22,7 @@ no rows; a text of any length is one array of words, read whole.
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,7 @@ TEMPLATES = {
 
 
 def template_words(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[str]]]:
-    words = lambda t: frozenset("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    words = lambda t: frozenset(re.findall(r"[0-9a-z\x80-\U0010FFFF]+", t.lower()))
     return [(label, words(t)) for label, texts in sorted(templates.items()) for t in texts]
 
 
@@ -67,7 +68,7 @@ def _block_sets(rows: DataFrame, text: Column, vocabulary: list[str], least: int
     """Distinct words of the vocabulary in each line, in the vocabulary's order."""
     lines = rows.select(own("a"), own("b"), F.posexplode(F.split(text, "\n")).alias(own("line"), own("text")))
     held = F.array_intersect(_literal(vocabulary), _words(F.lower(own("text"))))
-    sets = lines.filter(F.length(own("text")) > 2 * least).select(own("a"), own("b"), own("line"), held.alias(own("held")))
+    sets = lines.filter(F.length(own("text")) >= 2 * least - 1).select(own("a"), own("b"), own("line"), held.alias(own("held")))
     return sets.filter(F.size(own("held")) >= least)
 
 

@@ -142,6 +142,33 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.scan_documents(empty, bench).collect() == []
 
 
+def places_of(items, words, window):
+    hit, found = [False] * len(words), set()
+    for item, text in items:
+        w = text.split()
+        k = min(window, len(w))
+        for i in range(len(w) - k + 1 if w else 0):
+            for j in range(len(words) - k + 1):
+                if words[j : j + k] == w[i : i + k]:
+                    found.add(item)
+                    hit[j : j + k] = [True] * k
+    return hit, found
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_windows_against_brute_force(monkeypatch, one_hash):
+    if one_hash:  # every window collides with every other: words decide
+        monkeypatch.setattr(decontaminate, "rolled", lambda codes, n: np.zeros(max(0, len(codes) - n + 1), np.uint64))
+    rng = np.random.default_rng(8)
+    some = lambda n: b" ".join(b"abc"[i : i + 1] for i in rng.integers(0, 3, rng.integers(0, n)))
+    for _ in range(150):
+        items = [(f"i{rng.integers(0, 5)}", some(9)) for _ in range(rng.integers(0, 6))]
+        doc = some(30) + b" zz " + some(9)
+        words, hit, found = decontaminate.Windows(items, 4).scan(doc)
+        got = [False] * len(words) if hit is None else hit.tolist()
+        assert (got, found) == places_of(items, words, 4)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8), (None, [1.0] * 8), (303, [1.0, 2.0])]
@@ -174,6 +201,9 @@ def test_licenses(spark, docs, empty):
     assert [f["label"] for f in got[1]["found"]] == ["mit"] and [(p["at"], p["label"]) for p in got[1]["places"]] == [(7, "cc-by")]
     assert got[2]["found"] == [] and got[2]["places"][0]["at"] == 7 and got[3]["n_words"] == 0 and got[4]["found"] == []
     assert [f["label"] for f in licenses.scan_licenses(df, threshold=0.8).filter("doc_id = 4").first()["found"]] == ["apache-2.0"]
+    short = spark.createDataFrame([(1, "A b\nc"), (2, "x\nc B,a")], "doc_id long, text string")
+    found = licenses.scan_licenses(short, templates={"abc": ["A B C"]}).orderBy("doc_id").collect()
+    assert [[(f["line"], f["label"]) for f in r["found"]] for r in found] == [[], [(1, "abc")]]
     assert licenses.scan_licenses(docs).count() == 15 and licenses.scan_licenses(empty).collect() == []
 
 
