@@ -36,6 +36,9 @@ SHARDS = 24
 RANGE_ROWS = 100_000
 #: Samples drawn for each range.
 OVERSAMPLE = 64
+#: Samples in all, while there are 4 for a range; fewer samples mean less even ranges,
+#: which are subdivided, and shards just as even.
+MAX_SAMPLES = 2_000_000
 #: Times that overfull ranges are subdivided.
 ROUNDS = 3
 
@@ -84,6 +87,7 @@ def _sizes(ranged: DataFrame) -> dict[int, tuple[int, int]]:
 
 def choose_splitters(rows: DataFrame, total: int, n_rows: int, shards: int, range_rows: int, oversample: int) -> list[tuple[int, int]]:
     n = max(shards, ceil(n_rows / range_rows))
+    oversample = max(4, min(oversample, MAX_SAMPLES // n))
     wanted = n * oversample
     sample = _drawn(rows, F.col("size") * F.lit(wanted / max(1, total)))
     splitters = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
