@@ -41,6 +41,8 @@ BANDS, ROWS = 26, 5
 PERCENT = 85
 #: Nodes of one block of a group, of those asked and of those compared with.
 BLOCK = 8192
+#: Groups of several blocks that are broadcast (16 bytes each); more are joined by a shuffle.
+MAX_LARGE = 500_000
 MEMORY_WORDS = 400_000
 
 _words: dict[bytes, int] = {}
@@ -248,10 +250,13 @@ def _remaining(buckets: DataFrame, components: DataFrame, sets: DataFrame, perce
     torn = torn.filter(F.col("group") != F.col("high")).select("key", "group")
     members = cut(placed.join(torn, "key").select("group", "node", "component").distinct())
     asked = F.col("component") != F.col("group")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("int")
+    # Only groups of more than one block are dealt: at most one in ``block`` rows.
+    n_blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block))).cast("int")
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("n_asked"))
-    sizes = sizes.select("group", blocks.alias("ab"), F.greatest(F.lit(1), F.ceil(F.col("n_asked") / F.lit(block))).cast("int").alias("qb"))
-    dealt = members.join(sizes, "group")
+    large = sizes.filter(F.col("n") > block).select("group", n_blocks("n").alias("ab"), n_blocks("n_asked").alias("qb"))
+    if members.count() <= block * MAX_LARGE:
+        large = F.broadcast(large)
+    dealt = members.join(large, "group", "left").fillna(1, ["ab", "qb"])
     mine = F.pmod(F.xxhash64("node"), F.col("ab")).cast("int")
     my_q = F.pmod(F.xxhash64("node", F.lit(1)), F.col("qb")).cast("int")
     to_all = dealt.select("group", "node", "component", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("asked"))
