@@ -13,7 +13,9 @@ squared change of the logit is penalised, so the terms themselves carry no weigh
 
 Bounds, all parameters: at most ``max_docs`` labelled documents of each label are
 used, those of the smallest hash of the id, and of each at most
-``max_doc_sentences`` sentences, spread over it.  Scoring reads whole texts.
+``max_doc_sentences`` sentences, spread over it, of about ``max_doc_words`` words
+in all.  Tasks cut these out and hash them, so the driver gets features of a
+bounded size and one score a document, never texts.  Scoring reads whole texts.
 
 Defined cases: null and empty texts score as a text without features (low); null
 labels or ids teach nothing; a table without both labels gives the model's base
@@ -22,8 +24,9 @@ rate; repeated rows score alike; extra columns are carried through.
 
 from __future__ import annotations
 
-from array import array
+from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +34,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own, table, text_bytes, with_batches
+from .common import cut, own, table, text_bytes, with_batches
 
 MAX_DOCS = 2500
 MAX_DOC_SENTENCES = 160
+MAX_DOC_WORDS = 2560
 THRESHOLD = 0.7
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7)
 SWAP_WEIGHT = 1.0
 MEMORY_WORDS = 400_000
 SENTENCE_WORDS = 48
+#: Features that one step of the training's sums works on.
+PART = 1 << 20
 
 #: Group terms that are swapped for one another; a parameter, by language.
 IDENTITY_TERMS = {
@@ -109,40 +115,83 @@ class Model:
         return best + self.bias
 
 
-class _Rows:
-    """Sentences as flat feature lists."""
-
-    def __init__(self):
-        self.memory: dict[bytes, array] = {}
-        self.flat = array("i")
-        self.ends = array("q")
-
-    def add(self, sentence: set[bytes]) -> None:
-        for word in sorted(sentence):
-            got = self.memory.get(word)
-            if got is None:
-                got = self.memory[word] = array("i", word_features(word))
-            self.flat.extend(got)
-        self.ends.append(len(self.flat))
+@dataclass
+class Example:
+    """What training takes of a labelled document."""
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
-        return flat, np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.concatenate(([0], ends))))
+    flat: np.ndarray  # features of the sampled sentences, one after the other
+    ends: np.ndarray  # where each sentence ends
+    swaps: list[tuple[str, str | None]]
 
 
-def swapped(sentence: set[bytes], terms: dict[str, list[str]]) -> list[tuple[set[bytes], set[bytes]]]:
-    """The sentence with each identity term in it swapped for the next of its list."""
+def swaps(sentence: set[bytes], terms: dict[str, list[str]]) -> list[tuple[str, str | None]]:
+    """Each identity term of a sentence and the next of its list (None: it is there too)."""
     out = []
     for group in terms.values():
         names = [t.encode() for t in group]
         for w in sorted(sentence.intersection(names)):
-            out.append((sentence, sentence - {w} | {names[(names.index(w) + 1) % len(names)]}))
+            other = names[(names.index(w) + 1) % len(names)]
+            if other != w:
+                out.append((w.decode(), None if other in sentence else other.decode()))
     return out
 
 
-def fit(
-    texts: list[bytes],
-    labels: list[int],
+def example(text: bytes | None, turn: int, terms: dict[str, list[str]], max_sentences: int, max_words: int, known: dict[bytes, list[int]]) -> Example:
+    """Every n-th sentence from the ``turn``-th on, so that long texts keep to the bounds."""
+    parts = sentences(text)
+    step = max(1, -(-len(parts) // max_sentences), -(-sum(map(len, parts)) // max_words))
+    flat, ends, found = [], [], []
+    for sentence in parts[turn % step :: step] or [set()]:
+        for word in sorted(sentence):
+            got = known.get(word)
+            if got is None:
+                got = known[word] = word_features(word)
+            flat += got
+        ends.append(len(flat))
+        found += swaps(sentence, terms)
+    if len(known) > MEMORY_WORDS // 8:
+        known.clear()
+    return Example(np.array(flat, np.int32), np.array(ends, np.int32), found)
+
+
+class _Rows:
+    """Feature lists of sentences; their sums are made part by part."""
+
+    def __init__(self, examples: list[Example]):
+        lengths = [np.diff(e.ends, prepend=0) for e in examples]
+        self.n = sum(map(len, lengths))
+        self.flat = np.concatenate([np.zeros(0, np.int32), *[e.flat for e in examples]])
+        self.at = np.repeat(np.arange(self.n, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *lengths]))
+        self.cuts = [*range(0, len(self.flat), PART), len(self.flat)]
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for i, j in pairwise(self.cuts):
+            low = int(self.at[i])
+            part = np.bincount(self.at[i:j] - low, weights[self.flat[i:j]])
+            out[low : low + len(part)] += part
+        return out
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for i, j in pairwise(self.cuts):
+            out += np.bincount(self.flat[i:j], error[self.at[i:j]], minlength=BUCKETS)
+        return out
+
+
+def _base_rate(y: np.ndarray) -> Model:
+    rate = (y.sum() + 1) / (len(y) + 10) if len(y) else 0.1
+    return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
+
+
+def _one_label(y: np.ndarray) -> bool:
+    return not len(y) or y.min() == y.max()
+
+
+def fit_examples(
+    examples: list[Example],
+    y_doc: np.ndarray,
+    terms: dict[str, list[str]],
     *,
     rounds: int = 3,
     steps: int = 30,
@@ -151,86 +200,86 @@ def fit(
     prior_docs: float = 8.0,
     rate: float = 0.05,
     swap_weight: float = SWAP_WEIGHT,
-    terms: dict[str, list[str]] | None = None,
-    max_doc_sentences: int = MAX_DOC_SENTENCES,
 ) -> Model:
-    terms = IDENTITY_TERMS if terms is None else terms
-    y_doc = np.array(labels, np.int64)
-    if not len(y_doc) or y_doc.min() == y_doc.max():
-        rate = (y_doc.sum() + 1) / (len(y_doc) + 10) if len(y_doc) else 0.1
-        return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    rows, owner, pairs = _Rows(), [], []
-    for d, text in enumerate(texts):
-        parts = sentences(text)
-        step = max(1, -(-len(parts) // max_doc_sentences))
-        for sentence in parts[d % step :: step] or [set()]:
-            rows.add(sentence)
-            owner.append(d)
-            pairs += swapped(sentence, terms)
-    n_doc_rows = len(owner)
+    """The weights, before ``_calibrated``; both labels must occur."""
+    # Only the swapped words differ in a pair, so equal swaps are one row with a count.
+    pairs = Counter(((one,), () if other is None else (other,)) for e in examples for one, other in e.swaps)
+    sizes = np.array([len(e.ends) for e in examples])
+    owner_, n_doc_rows = np.repeat(np.arange(len(examples)), sizes), int(sizes.sum())
+    neutral, known = [], {}
     for lang, group in terms.items():
         for template in TEMPLATES.get(lang, []):
-            filled = [set(template.format(t).encode().split()) for t in group]
-            for sentence in filled:
-                rows.add(sentence)
-            pairs += list(zip(filled, filled[1:] + filled[:1], strict=True))
-    left, right = _Rows(), _Rows()
-    left.memory = right.memory = rows.memory
-    for one, other in pairs:
-        left.add(one)
-        right.add(other)
-    flat, at = rows.arrays()
-    n_rows = len(rows.ends)
-    del rows.memory, rows.flat
-    owner_ = np.array(owner, np.int64)
+            neutral += [example(template.format(t).encode(), 0, {}, MAX_DOC_SENTENCES, MAX_DOC_WORDS, known) for t in group]
+            filled = [set(template.format(t).split()) for t in group]
+            pairs.update((tuple(sorted(x - z)), tuple(sorted(z - x))) for x, z in zip(filled, filled[1:] + filled[:1], strict=True))
+    changes = [_Rows([_of_words(pair[side]) for pair in pairs]) for side in (0, 1)]
+    times, n_pairs = np.array(list(pairs.values()), np.float64), sum(pairs.values())
+    rows = _Rows([*examples, *neutral])
+    n_rows = rows.n
     # Document frequencies of the features under both labels start the weights.
-    doc_rows = at < n_doc_rows
-    seen = np.unique(owner_[at[doc_rows]] * np.int64(BUCKETS) + flat[doc_rows])
-    per = [np.bincount(seen[y_doc[seen // BUCKETS] == c] % BUCKETS, minlength=BUCKETS) for c in (0, 1)]
+    per = np.zeros((2, BUCKETS))
+    for e, c in zip(examples, y_doc.tolist(), strict=True):
+        per[c, np.unique(e.flat)] += 1
     n0, n1 = (y_doc == 0).sum(), (y_doc == 1).sum()
     odds = np.log((per[1] + 0.5) / (n1 + 1)) - np.log((per[0] + 0.5) / (n0 + 1))
     # Few toxic documents are weak evidence; features of fewer than min_docs get no weight.
     usable = per[0] + per[1] >= min_docs
     weights, bias = np.where(usable, np.clip(odds, -1, 6) * (per[1] + 0.5) / (per[1] + prior_docs), 0.0), -4.0
     toxic_row = y_doc[owner_] == 1
-    starts = np.flatnonzero(np.concatenate(([True], owner_[1:] != owner_[:-1])))
-    l_flat, l_at = left.arrays()
-    r_flat, r_at = right.arrays()
+    starts = np.cumsum(sizes) - sizes
     grad2 = np.full(BUCKETS, 1e-8)
     grad2_bias = 1e-8
-    del seen, doc_rows
     for _ in range(rounds):
-        logit = np.bincount(at, weights[flat], minlength=n_rows) + bias
+        logit = rows.sums(weights) + bias
         # The worst sentence of each toxic document, and those almost as bad.
         top = np.maximum.reduceat(logit[:n_doc_rows], starts)
-        worst = logit[:n_doc_rows] >= top[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n_doc_rows)))] - 1e-9
+        worst = logit[:n_doc_rows] >= top[owner_] - 1e-9
         used = np.ones(n_rows, bool)
         used[:n_doc_rows] = ~toxic_row | worst
         y = np.zeros(n_rows)
         y[:n_doc_rows] = toxic_row & worst
         importance = np.where(y == 1, 1.0 / max(1, (y == 1).sum()), 1.0 / max(1, ((y == 0) & used).sum())) * used
-        keep = used[at]
-        f, a = flat[keep], at[keep]
         for _ in range(steps):
-            z = np.bincount(a, weights[f], minlength=n_rows) + bias
+            z = rows.sums(weights) + bias
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * importance
-            grad = np.bincount(f, error[a], minlength=BUCKETS) + l2 * weights
-            if len(pairs):
-                change = np.bincount(l_at, weights[l_flat], minlength=len(pairs)) - np.bincount(r_at, weights[r_flat], minlength=len(pairs))
-                pull = 2 * swap_weight * change / len(pairs)
-                grad += np.bincount(l_flat, pull[l_at], minlength=BUCKETS) - np.bincount(r_flat, pull[r_at], minlength=BUCKETS)
+            grad = rows.gradient(error) + l2 * weights
+            if n_pairs:
+                pull = 2 * swap_weight * (changes[0].sums(weights) - changes[1].sums(weights)) * times / n_pairs
+                grad += changes[0].gradient(pull) - changes[1].gradient(pull)
             grad2 += grad * grad
             weights = weights - rate * usable * grad / np.sqrt(grad2)
             bias_grad = error.sum()
             grad2_bias += bias_grad * bias_grad
             bias -= rate * bias_grad / np.sqrt(grad2_bias)
-    return _calibrated(Model(weights, float(bias)), texts, y_doc)
+    return Model(weights, float(bias))
+
 
+def _of_words(words: tuple[str, ...]) -> Example:
+    flat = [f for w in words for f in word_features(w.encode())]
+    return Example(np.array(flat, np.int32), np.array([len(flat)], np.int32), [])
 
-def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
+
+def fit(
+    texts: list[bytes],
+    labels: list[int],
+    *,
+    terms: dict[str, list[str]] | None = None,
+    max_doc_sentences: int = MAX_DOC_SENTENCES,
+    max_doc_words: int = MAX_DOC_WORDS,
+    **options,
+) -> Model:
+    """A model of texts at hand; ``train`` is the form for tables."""
+    terms = IDENTITY_TERMS if terms is None else terms
+    y, known, sums = np.array(labels, np.int64), {}, {}
+    if _one_label(y):
+        return _base_rate(y)
+    examples = [example(t, d, terms, max_doc_sentences, max_doc_words, known) for d, t in enumerate(texts)]
+    model = fit_examples(examples, y, terms, **options)
+    return _calibrated(model, np.array([model.logit(t, sums) for t in texts]), y)
+
+
+def _calibrated(model: Model, z: np.ndarray, y: np.ndarray) -> Model:
     """Scale and shift so that THRESHOLD lies between the labels as well as it can."""
-    known: dict[bytes, float] = {}
-    z = np.array([model.logit(t, known) for t in texts])
     order = np.sort(z)
     middles = np.concatenate(([order[0] - 1], (order[1:] + order[:-1]) / 2))
     clean, toxic = np.sort(z[y == 0]), np.sort(z[y == 1])
@@ -243,9 +292,9 @@ def _calibrated(model: Model, texts: list[bytes], y: np.ndarray) -> Model:
     return Model(model.weights * scale, (model.bias - cut_at) * scale + at_threshold)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, held_out: Column | None) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, held_out: Column | None) -> DataFrame:
     """Texts and labels of at most ``max_docs`` documents of each label, by hash of the id."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(own("id")), "toxic")
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(own("id")), F.col("toxic").cast("int").alias("toxic"))
     if held_out is not None:
         known = known.filter(~held_out)
     # One task's smallest hashes, then the smallest of these: nothing is gathered.
@@ -254,13 +303,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         part = known.filter(F.col("toxic") == label).dropDuplicates([own("id")]).orderBy(F.xxhash64(own("id")), own("id")).limit(max_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias(own("id")), F.col(text_col).alias(own("t"))).filter(F.col(own("t")).isNotNull())
-    rows = texts.join(F.broadcast(chosen), own("id")).dropDuplicates([own("id")])  # 2 * max_docs ids at most
-    return sorted(rows.select(own("id"), own("t"), "toxic").collect())
+    return texts.join(F.broadcast(chosen), own("id")).dropDuplicates([own("id")])  # 2 * max_docs ids at most
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_docs: int = MAX_DOCS, held_out=None, **options) -> Model:
-    rows = training_rows(docs, labels, id_col, text_col, max_docs, held_out)
-    return fit([r[1].encode() for r in rows], [r[2] for r in rows], **options)
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    max_docs: int = MAX_DOCS,
+    held_out: Column | None = None,
+    terms: dict[str, list[str]] | None = None,
+    max_doc_sentences: int = MAX_DOC_SENTENCES,
+    max_doc_words: int = MAX_DOC_WORDS,
+    **options,
+) -> Model:
+    terms = IDENTITY_TERMS if terms is None else terms
+    # Written once: it is read for the examples and again for the scores.
+    chosen = cut(training_rows(docs, labels, id_col, text_col, max_docs, held_out).withColumn(own("turn"), F.xxhash64(own("id"))))
+    known: dict[bytes, list[int]] = {}
+
+    def compute(batch: pa.RecordBatch) -> dict:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        found = [example(t, n, terms, max_doc_sentences, max_doc_words, known) for t, n in zip(text_bytes(column(own("t"))), column(own("turn")).to_pylist(), strict=True)]
+        return {"flat": [e.flat.tobytes() for e in found], "ends": [e.ends.tobytes() for e in found], "swaps": [[list(p) for p in e.swaps] for e in found]}
+
+    fields = [T.StructField("flat", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("swaps", T.ArrayType(T.ArrayType(T.StringType())))]
+    made = with_batches(chosen, compute, fields, drop=(own("t"), own("turn")), at_end=known.clear)
+    rows = sorted(made.collect(), key=lambda r: r[0])
+    y = np.array([r["toxic"] for r in rows], np.int64)
+    if _one_label(y):
+        return _base_rate(y)
+    examples = [Example(np.frombuffer(r["flat"], np.int32), np.frombuffer(r["ends"], np.int32), [tuple(p) for p in r["swaps"]]) for r in rows]
+    del rows
+    model = fit_examples(examples, y, terms, **options)
+    got = _logits(chosen, model, own("t"), own("z")).select(own("z"), "toxic").collect()
+    return _calibrated(model, np.array([r[0] for r in got]), np.array([r[1] for r in got], np.int64))
+
+
+def _logits(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
+    known: dict[bytes, float] = {}
+
+    def compute(batch: pa.RecordBatch) -> dict:
+        column = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+        return {name: pa.array([shared.value.logit(t, known) for t in column], pa.float64())}
+
+    return with_batches(docs, compute, [T.StructField(name, T.DoubleType())])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,5 +383,3 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"), held_out=held_out_of(own("id")))
     return score(docs, model).select("doc_id", F.coalesce(held_out_of("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
-
-
