@@ -230,27 +230,30 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with sequence_id and offset; lengths must be 1 to ``capacity``.
 
-    The descriptors are cut first, so that a lost executor costs no second
-    tokenization and the number of groups follows the number of pieces.
+    The pieces are cut first, so that a lost executor costs no second
+    tokenization and the number of groups follows the number of pieces.  Groups
+    hold descriptors only, one group a task; ids join them by a row number that
+    is written with the pieces.
     """
     dealt = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
     keys = [n for n in dealt if n != "ids"]
-    stable = cut(pieces.select(*dealt))
+    row, group_, mark, ties = own("row"), own("group"), own("mark"), [F.col(c) for c in order if c in dealt]
+    stable = cut(pieces.select(*dealt, F.monotonically_increasing_id().alias(row)))
     groups = max(1, ceil(stable.count() / group_pieces))
-    mark, ties = own("mark"), [F.col(c) for c in order if c in dealt]
+    narrow = stable.select(*keys, row)
     schema = T.StructType(
-        [*stable.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+        [*narrow.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    marked = stable.withColumn(mark, F.xxhash64(*[F.col(c) for c in keys]))
-    at_group = marked.withColumn(own("group"), F.pmod(F.xxhash64(F.col(mark)), F.lit(groups)))
-    ordered = at_group.repartition(groups, own("group")).sortWithinPartitions(
-        F.col(own("group")), F.desc("length"), F.col(mark), *ties
+    marked = narrow.withColumn(mark, F.xxhash64(*[F.col(c) for c in keys]))
+    at_group = marked.withColumn(group_, F.pmod(F.xxhash64(F.col(mark)), F.lit(groups)).cast("int"))
+    ordered = at_group.repartitionById(groups, F.col(group_)).sortWithinPartitions(
+        F.col(group_), F.desc("length"), F.col(mark), *ties
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, None
         for batch in batches:
-            groups_, lengths = batch.column(own("group")).to_pylist(), batch.column("length").to_pylist()
+            groups_, lengths = batch.column(batch.schema.get_field_index(group_)).to_pylist(), batch.column(batch.schema.get_field_index("length")).to_pylist()
             sequence, offset = [], []
             for g, n in zip(groups_, lengths, strict=True):
                 if g != group:
@@ -258,11 +261,14 @@ def pack(
                 bin_, at = packer.place(n)
                 sequence.append((g << 40) | bin_)
                 offset.append(at)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in dealt]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in [*keys, row]]
             columns += [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return ordered.mapInArrow(run, schema)
+    placed = ordered.mapInArrow(run, schema)
+    if "ids" in dealt:
+        placed = stable.join(placed.select(row, "sequence_id", "offset"), row)
+    return placed.select(*dealt, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
