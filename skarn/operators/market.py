@@ -139,6 +139,28 @@ def correlations(long: DataFrame) -> DataFrame:
     return r.join(other, "date").groupBy("ticker", "other").agg(F.corr("change_pct", "other_pct").alias("corr"))
 
 
+def forward_filled(long: DataFrame) -> DataFrame:
+    """A row for every day between a ticker's first and last, with the last known close."""
+    span = long.groupBy("ticker").agg(F.min("date").alias("__from"), F.max("date").alias("__to"))
+    days = span.select("ticker", F.explode(F.sequence("__from", "__to")).alias("date"))
+    known = F.last("close", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    return days.join(long.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("close", known)
+
+
+def positional_join(left: DataFrame, right: DataFrame, by: str, order: str) -> DataFrame:
+    """The n-th row of the one with the n-th of the other, within each ``by``."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    other = right.withColumn("position", n).drop(order)
+    return left.withColumn("position", n).drop(order).join(other, [by, "position"])
+
+
+def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Left rows with the first right row of their key; rows without one are skipped."""
+    rest = [c for c in right.columns if c != key]
+    first = right.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return left.join(first, key).select(*left.columns, "__r.*")
+
+
 # --- indicators ---------------------------------------------------------------------------
 
 
@@ -177,6 +199,14 @@ def macd(long: DataFrame) -> DataFrame:
     return rows.select("ticker", F.col("r.s.date").alias("date"), F.col("r.m").alias("macd"), F.col("r.signal").alias("macd_signal"))
 
 
+def smoothed(daily: DataFrame, value: str, span: int) -> DataFrame:
+    """(date, value, smoothed) of one series with a row a day, which is one short array."""
+    one = daily.agg(F.array_sort(F.collect_list(F.struct("date", value))).alias("s"))
+    lines = one.withColumn("m", ema(F.transform("s", lambda e: e[value]), span))
+    rows = lines.select(F.explode(F.arrays_zip("s", "m")).alias("r"))
+    return rows.select(F.col("r.s.date").alias("date"), F.col(f"r.s.{value}").alias(value), F.col("r.m").alias("smoothed"))
+
+
 def splits(long: DataFrame) -> DataFrame:
     """train, validation, test: the first 80, next 10 and last 10 percent of each ticker."""
     share = F.percent_rank().over(by_ticker())

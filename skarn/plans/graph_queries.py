@@ -176,6 +176,12 @@ def graph_remove_node(spark, sf_dir):
     return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
 
+@query(f"""WITH {_GRAPH} SELECT id, round(first_seen, 3) AS first_seen FROM nodes WHERE node_type = 'error' AND contains(id, 'e1') ORDER BY nodes.first_seen, id LIMIT 6""")
+def graph_first_seen(spark, sf_dir):
+    named = _graph(spark, sf_dir).nodes.filter((F.col("node_type") == "error") & F.col("id").contains("e1"))
+    return named.orderBy("first_seen", "id").limit(6).select("id", F.round("first_seen", 3).alias("first_seen"))
+
+
 def _hops_sql(hops: int) -> str:
     return f"""WITH RECURSIVE {_GRAPH}, near AS (SELECT DISTINCT source, target FROM edges WHERE abs(t - {MID}) <= 864000),
 walk AS (SELECT id, 0 AS hop FROM nodes WHERE id = 'u1' UNION SELECT near.target, hop + 1 FROM walk JOIN near ON near.source = walk.id WHERE hop < {hops})

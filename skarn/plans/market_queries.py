@@ -119,6 +119,14 @@ def tail_mean(spark, sf_dir):
     return M.daily_sentiment(_scored(spark, sf_dir), "date", "score").orderBy(F.desc("date")).limit(5).agg(r4(F.avg("sentiment_score")).alias("tail_mean"))
 
 
+@query(f"""WITH RECURSIVE {_SENT}, o AS (SELECT date, sentiment_score AS v, row_number() OVER (ORDER BY date) AS n FROM daily),
+e AS (SELECT date, n, v, v AS m FROM o WHERE n = 1 UNION ALL SELECT o.date, o.n, o.v, o.v * 0.5 + e.m * 0.5 FROM e JOIN o ON o.n = e.n + 1)
+SELECT {_D}, round(v, 4) AS sentiment_score, round(m, 4) AS smoothed FROM e""")
+def sentiment_ewma(spark, sf_dir):
+    daily = M.daily_sentiment(_scored(spark, sf_dir), "date", "score")
+    return _day(_r(M.smoothed(daily, "sentiment_score", 3), "sentiment_score", "smoothed"))
+
+
 # --- series -----------------------------------------------------------------------------------
 
 
@@ -165,6 +173,21 @@ def returns_histogram(spark, sf_dir):
     return r.groupBy(F.least(F.floor((F.col("change_pct") + 100) / 20), F.lit(20)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_S}, days AS (SELECT ticker, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s GROUP BY ticker)
+SELECT d.ticker, CAST(d.date AS VARCHAR) AS date, last_value(s.close IGNORE NULLS) OVER (PARTITION BY d.ticker ORDER BY d.date ROWS UNBOUNDED PRECEDING) AS close
+FROM days d LEFT JOIN s ON d.ticker = s.ticker AND d.date = s.date""")
+def forward_fill(spark, sf_dir):
+    return _day(M.forward_filled(_series(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, count(*) AS volume FROM orders GROUP BY 1, 2)
+SELECT ticker, CAST(date AS VARCHAR) AS date, round((volume / lag(volume) OVER (PARTITION BY ticker ORDER BY date) - 1) * 100, 4) AS change_pct FROM d""")
+def volume_change(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    volume = o.groupBy(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("close"))
+    return _day(_r(M.returns(volume).select("ticker", "date", "change_pct"), "change_pct"))
+
+
 _W = "PARTITION BY ticker ORDER BY s.date"
 
 
@@ -228,6 +251,15 @@ def forecast_naive(spark, sf_dir):
     return _day(_r(M.naive_forecast(_series(spark, sf_dir), HORIZON), "pred", "ci_lower", "ci_upper", places=3))
 
 
+@query(f"""WITH {_F} SELECT ticker, CAST(last_date AS VARCHAR) AS last_date, array_to_string(list_transform(days[1:{HORIZON}], lambda x: CAST(CAST(x AS DATE) AS VARCHAR)), ',') AS days
+FROM (SELECT ticker, last_date, list_filter(list_transform(range(1, 22), lambda i: last_date + CAST(i AS INTEGER)), lambda x: dayofweek(x) NOT IN (0, 6)) AS days FROM p)""")
+def horizon_calendar(spark, sf_dir):
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    last = _series(spark, sf_dir).groupBy("ticker").agg(F.max("date").alias("d"))
+    days = F.transform(M.business_days(F.col("d"), HORIZON), iso)
+    return last.select("ticker", iso(F.col("d")).alias("last_date"), F.array_join(days, ",").alias("days"))
+
+
 def _wide(spark, sf_dir) -> DataFrame:
     """The horizon's columns are numbered, so that no job is needed to name them."""
     f = M.naive_forecast(_series(spark, sf_dir), HORIZON)
@@ -274,6 +306,21 @@ def nearest_price_join(spark, sf_dir):
     return out.select("o_custkey", "ticker", iso("asked"), iso("matched_at"), "close")
 
 
+@query(f"""WITH {_S}, n AS (SELECT ticker, CAST(year(date) AS INTEGER) AS y, close, CAST(row_number() OVER (PARTITION BY ticker, year(date) ORDER BY date) AS INTEGER) AS position FROM s)
+SELECT a.y, a.position, a.close AS predicted, b.close AS actual FROM n a JOIN n b ON a.y = b.y AND a.position = b.position WHERE a.ticker = '{TICKERS[0]}' AND b.ticker = '{TICKERS[1]}'""")
+def positional_join(spark, sf_dir):
+    s = _series(spark, sf_dir).withColumn("y", F.year("date"))
+    side = lambda ticker, name: s.filter(F.col("ticker") == ticker).select("y", "date", F.col("close").alias(name))
+    return M.positional_join(side(TICKERS[0], "predicted"), side(TICKERS[1], "actual"), "y", "date")
+
+
+@query("""SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) o
+ON c_custkey = o_custkey WHERE k = 1""")
+def first_match_lookup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "o_orderdate")
+    return M.first_match(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), o, "c_custkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
 def _compared(spark, sf_dir) -> DataFrame:
     """Customers as tickers: the mean of all orders but the last predicts the last."""
     from pyspark.sql.window import Window
