@@ -21,6 +21,11 @@ from skarn.llm.neardup import remove_near_duplicates
 from skarn.llm.packing import pack, token_pieces
 from skarn.llm.toxicity import remove_toxic, train
 
+#: The near-dedup stage links documents of Jaccard 0.80 or more on word shingles.
+#: (op3's contract, 85, binds its own query only.)  With 39 bands of 5 rows a pair
+#: of similarity 0.80 shares no band with probability 2e-7.
+NEAR_PERCENT, NEAR_BANDS = 80, 39
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -39,8 +44,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return remove_near_duplicates(docs)
+    """One document of each group of near copies, of Jaccard 0.80 or more, stays."""
+    return remove_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

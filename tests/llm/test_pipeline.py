@@ -33,3 +33,15 @@ def test_stages(spark, tmp_path):
     packed = pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in packed} == ids and len({r["sequence_id"] for r in packed}) == 1
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "line dedup", "near-dedup", "decontamination", "packing"]
+
+
+def test_near_dedup_threshold(spark, tmp_path):
+    words = [f"w{i}" for i in range(105)]
+
+    def edited(*places):
+        return " ".join("edit" if i in places else w for i, w in enumerate(words))
+
+    # 101 shingles: two edited words leave 91 of 111 (0.82), three leave 86 of 116 (0.74).
+    rows = [(1, " ".join(words)), (2, edited(30, 70)), (3, edited(20, 50, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [1, 3]
