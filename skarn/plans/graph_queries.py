@@ -96,10 +96,11 @@ def delete_insert_update(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> G.TemporalGraph:
-    """Users, events and days of the error and purchase events."""
-    e = table(spark, sf_dir, "events").filter("event_type IN ('error', 'purchase')")
+    """Users, events and days of all events.  _GRAPH still has two event types and no days."""
+    e = table(spark, sf_dir, "events")
     t = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("t")
-    e = e.select("event_id", "user_id", "event_type", t)
+    day = F.concat(F.lit("d"), F.date_format("ts", "yyyy-MM-dd")).alias("day")
+    e = e.select("event_id", "user_id", "event_type", t, day)
     after = Window.partitionBy("user_id").orderBy("t", "event_id")
     same = Window.partitionBy("user_id", "event_type").orderBy("t", "event_id")
     e = e.withColumn("next_id", F.lead("event_id").over(after)).withColumn("next_same", F.lead("event_id").over(same))
@@ -116,6 +117,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> G.TemporalGraph:
     no_vector, no_map = F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("map<string,string>").alias("attributes")
     seen = e.select(user.alias("id"), F.lit("user").alias("node_type"), F.col("t").alias("ts"), no_vector, F.create_map(F.lit("last_event"), F.col("event_type")).alias("attributes"))
     seen = seen.unionByName(e.select(event("event_id").alias("id"), F.col("event_type").alias("node_type"), F.col("t").alias("ts"), no_vector, no_map))
+    seen = seen.unionByName(e.select(F.col("day").alias("id"), F.lit("day").alias("node_type"), F.col("t").alias("ts"), no_vector, no_map))
     return G.TemporalGraph(G.upsert_nodes(G.with_endpoints(seen, edges)), edges)
 
 
