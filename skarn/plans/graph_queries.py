@@ -209,7 +209,7 @@ walk AS (
 SELECT array_to_string(path, '>') AS path FROM walk WHERE len(path) > 1 AND (len(path) = 5 OR last NOT IN (SELECT a FROM step))""")
 def causal_chain(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    starts = g.nodes.filter(F.col("id").isin("u1", "u2", "u3"))
+    starts = g.nodes.filter("node_type = 'user'")
     return g.causal_chains(starts, max_depth=4).select(F.array_join("path", ">").alias("path"))
 
 

@@ -21,3 +21,38 @@ def test_graph_has_all_events_and_days(spark, tmp_path):
     assert nodes == events | {("u1", "user", "error"), ("u2", "user", "click"), ("d2024-01-14", "day", None), ("d2024-01-15", "day", None)}
     edges = {r["edge_id"].split("@")[0] for r in queries["graph_edges"](spark, d).collect()}
     assert edges == {"u1→enables→e0", "u1→enables→e1", "u1→enables→e2", "u1→enables→e3", "u2→enables→e4", "e0→before→e1", "e1→before→e2", "e2→before→e3", "e1→causes→e3"}
+
+
+def test_chains_start_from_every_user(spark, tmp_path):
+    d = write_events(spark, tmp_path, [(i, 100 + i, "view", i) for i in range(5)])
+    assert {r["path"] for r in entry.queries()["causal_chain"](spark, d).collect()} == {f"u{100 + i}>e{i}" for i in range(5)}
+
+
+def test_ancestors_of_all_parts(spark, tmp_path):
+    spark.range(300).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for k in range(1, 300):
+        a = k
+        while a:
+            a //= 2
+            want.add((str(a), str(k)))
+    assert {(r["X"], r["Z"]) for r in entry.queries()["fol_ancestor_fixpoint"](spark, str(tmp_path)).collect()} == want
+
+
+def test_years_of_all_orders(spark, tmp_path):
+    rows = [("HIGH", datetime.date(y, 5, 1), float(y)) for y in range(1990, 1999)] + [("LOW", None, 1.0)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["ticker"], r["date"], r["value"]) for r in entry.queries()["date_columns_to_long"](spark, str(tmp_path)).collect()}
+    assert got == {("HIGH", f"{y}-01-01", float(y)) for y in range(1990, 1999)}
+
+
+def test_types_of_all_individuals(spark, tmp_path):
+    for name, row, schema in (
+        ("customer", (7, 1), "c_custkey long, c_nationkey long"),
+        ("nation", (1, "FRANCE", 2), "n_nationkey long, n_name string, n_regionkey long"),
+        ("region", (2, "EUROPE"), "r_regionkey long, r_name string"),
+        ("part", (9, 2), "p_partkey long, p_size int"),
+    ):
+        spark.createDataFrame([row], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["ind"], r["coll"]) for r in entry.queries()["onto_is_isa"](spark, str(tmp_path)).collect()}
+    assert got == {("customer-7", c) for c in ("FRANCE", "EUROPE", "World")} | {("part-9", c) for c in ("size-2", "size-1", "World")}
