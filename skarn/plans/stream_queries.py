@@ -248,8 +248,13 @@ def hll_merge(spark, sf_dir):
 @query(f"""WITH hll_source AS (SELECT c AS upto, user_id FROM events, (VALUES (100), (500), (1000), (5000), (10000)) v(c) WHERE event_id < c)
 SELECT e.upto, e.estimate, x.exact FROM ({_hll_sql(12, by='upto')}) e JOIN (SELECT upto, count(DISTINCT user_id) AS exact FROM hll_source GROUP BY upto) x ON e.upto = x.upto""")
 def hll_checkpoints(spark, sf_dir):
-    marks = F.filter(F.array(*[F.lit(c) for c in (100, 500, 1000, 5000, 10000)]), lambda c: F.col("event_id") < c)
-    users = _users(spark, sf_dir).select("item", F.explode(marks).alias("upto"))
+    """Marks at 100 to 10000, then 50000, 100000, 500000 and so on, and one after the last event."""
+    users = _users(spark, sf_dir)
+    end = (users.agg(F.max("event_id")).first()[0] or 0) + 1
+    more = {m * 10**k for k in range(4, len(str(end))) for m in (1, 5) if m * 10**k < end} | {max(end, 10000)}
+    upto = sorted({100, 500, 1000, 5000, 10000} | more)
+    marks = F.filter(F.array(*[F.lit(c) for c in upto]), lambda c: F.col("event_id") < c)
+    users = users.select("item", F.explode(marks).alias("upto"))
     exact = users.groupBy("upto").agg(F.countDistinct("item").alias("exact"))
     return S.hll_estimate(S.hll_registers(users, F.col("item"), 12, ["upto"]), 12, ["upto"]).join(exact, "upto")
 

@@ -56,3 +56,11 @@ def test_types_of_all_individuals(spark, tmp_path):
         spark.createDataFrame([row], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r["ind"], r["coll"]) for r in entry.queries()["onto_is_isa"](spark, str(tmp_path)).collect()}
     assert got == {("customer-7", c) for c in ("FRANCE", "EUROPE", "World")} | {("part-9", c) for c in ("size-2", "size-1", "World")}
+
+
+def test_checkpoints_reach_the_last_event(spark, tmp_path):
+    rows = spark.range(12_000).selectExpr("id AS event_id", "id % 3000 + IF(id >= 11000, 5000, 0) AS user_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["upto"]: (r["exact"], r["estimate"]) for r in entry.queries()["hll_checkpoints"](spark, str(tmp_path)).collect()}
+    assert {u: x for u, (x, _) in got.items()} == {100: 100, 500: 500, 1000: 1000, 5000: 3000, 10000: 3000, 12000: 4000}
+    assert all(abs(n - x) <= 0.05 * x for x, n in got.values())
