@@ -1,7 +1,10 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks (lines) and license templates are sets of words.  A block is found
-for a template when it contains at least ``THRESHOLD`` of the template's words.
+Text blocks and license templates are sets of words.  A block is found for a
+template when it contains at least ``THRESHOLD`` of the template's words.  Blocks
+are lines and, with ``wrapped``, overlapping windows over the words of all lines
+as well, so that a notice wrapped over lines is found: every run of as many words
+as the longest template has lies within one window of twice as many.
 The words of the templates are ordered by their frequency in all blocks, rarest
 first.  The join then uses
 
@@ -72,6 +75,20 @@ def _block_sets(rows: DataFrame, text: Column, vocabulary: list[str], least: int
     return sets.filter(F.size(own("held")) >= least)
 
 
+def _window_sets(rows: DataFrame, text: Column, vocabulary: list[str], least: int, span: int, some: list[str]) -> DataFrame:
+    """As _block_sets, line -1, of windows of 2 * ``span`` words, one each ``span`` words.
+
+    Only of texts of several lines that have one of the words ``some``.
+    """
+    several = rows.filter(F.contains(text, F.lit("\n")) & F.lower(text).rlike("|".join(some)))
+    words = several.select(own("a"), own("b"), _words(F.lower(text)).alias(own("w")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(own("w")) - 1 - span, F.lit(0)), F.lit(span))
+    windows = words.select(own("a"), own("b"), F.explode(F.transform(starts, lambda i: F.slice(own("w"), i + 1, F.lit(2 * span)))).alias(own("w")))
+    held = F.array_intersect(_literal(vocabulary), own("w"))
+    sets = windows.select(own("a"), own("b"), F.lit(-1).alias(own("line")), held.alias(own("held")))
+    return sets.filter(F.size(own("held")) >= least)
+
+
 def frequency_order(rows: DataFrame, text: Column, vocabulary: list[str]) -> list[str]:
     """The templates' words by their number of blocks, rarest first."""
     counts = _block_sets(rows, text, vocabulary, 1).select(F.explode(own("held")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -79,8 +96,8 @@ def frequency_order(rows: DataFrame, text: Column, vocabulary: list[str]) -> lis
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
-def find_templates(rows: DataFrame, text: Column, templates: dict[str, list[str]], threshold: float) -> DataFrame:
-    """(a, b, line, label, containment) of every block that meets the threshold."""
+def find_templates(rows: DataFrame, text: Column, templates: dict[str, list[str]], threshold: float, wrapped: bool = False) -> DataFrame:
+    """(a, b, line, label, containment) of every block that meets the threshold; line -1 is a window."""
     spark = rows.sparkSession
     known = template_words(templates)
     vocabulary = sorted(set().union(*[w for _, w in known]))
@@ -96,7 +113,11 @@ def find_templates(rows: DataFrame, text: Column, templates: dict[str, list[str]
     texts = spark.createDataFrame(whole, "template int, label string, words array<string>, o int").drop("o")
     least = min(needed)
     blocks = _block_sets(rows, text, order, least)
-    prefixes = _literal(sorted({w for w, *_ in index}))
+    some = sorted({w for w, *_ in index})
+    if wrapped:
+        span = max(len(re.findall(r"[0-9a-z\x80-\U0010FFFF]+", t.lower())) for texts_ in templates.values() for t in texts_)
+        blocks = blocks.unionByName(_window_sets(rows, text, order, least, span, some))
+    prefixes = _literal(some)
     # The block's prefix for the smallest overlap holds that of every larger one.
     firsts = F.slice(F.col(own("held")), F.lit(1), F.size(own("held")) - least + 1)
     near = blocks.filter(F.arrays_overlap(F.col(own("held")), prefixes))
@@ -142,13 +163,17 @@ def scan_licenses(
     templates: dict[str, list[str]] | None = None,
     phrases: dict[str, str] | None = None,
     threshold: float = THRESHOLD,
+    wrapped: bool = False,
 ) -> DataFrame:
-    """One row a document: id, n_words, places (word, label), found (line, label, containment)."""
+    """One row a document: id, n_words, places (word, label), found (line, label, containment).
+
+    ``wrapped``: notices that run over several lines are found too, as line -1.
+    """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     a, b = row_key(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias(own("t")), a.alias(own("a")), b.alias(own("b")))
-    found = find_templates(rows, F.col(own("t")), templates, threshold)
+    found = find_templates(rows, F.col(own("t")), templates, threshold, wrapped)
     per_doc = found.groupBy(own("a"), own("b")).agg(F.sort_array(F.collect_set(F.struct(F.col(own("line")).alias("line"), "label", "containment"))).alias("found"))
     # A cheap test on the raw text: only what has a phrase's first words in a row is split for places.
     maybe = "(?i)" + "|".join("[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+".join(p.split()) for p in phrases)
@@ -162,7 +187,7 @@ def scan_licenses(
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
     base = F.transform("places", lambda p: p["label"])
     mine = F.transform("found", lambda p: p["label"])
     at = F.transform("places", lambda p: p["at"].cast("long"))

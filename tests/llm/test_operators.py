@@ -207,6 +207,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 15 and licenses.scan_licenses(empty).collect() == []
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    mit = "Permission is hereby granted, free of\n * charge, to any person obtaining a copy of this\n * software and associated documentation files"
+    far = "licensed\n" + "filler\n" * 60 + "under the Apache License, Version 2.0."
+    rows = [(1, "word\n" * 37 + mit), (2, "this work is licensed under the gnu GENERAL\npublic license version 3"), (3, far), (4, "a\nb"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in licenses.op8_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {1: "mit", 2: "gpl,gpl-3.0", 3: "", 4: "", 5: ""}
+
+
 def test_sharding_law(spark, docs, empty):
     rng = np.random.default_rng(2)
     rows = [(i, "s" * int(n)) for i, n in enumerate(rng.integers(0, 4000, 1500))] + [(2000 + i, COPY) for i in range(900)]
