@@ -11,8 +11,8 @@ benchmark is dealt by item into several sets, one pass over the documents each,
 and the hit positions of the passes are merged before any decision.
 
 Defined cases: null texts have no words; an item of fewer than ``window`` words
-is one window of its own length, an item without words or without an id has
-none; equal windows of several items count for each of them; repeated rows are
+is one window of its own length, an item without words has none; items without an
+id hit like all others and are one item, null and last, together; equal windows of several items count for each of them; repeated rows are
 judged alike; other columns are carried through; an empty benchmark hits nothing.
 """
 
@@ -22,7 +22,7 @@ import hashlib
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -46,6 +46,11 @@ def fold(text: bytes | None) -> bytes:
     return (text or b"").translate(FOLD)
 
 
+def in_order(items: Iterable[str | None]) -> list[str | None]:
+    """Sorted as strings, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def rolled(codes: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all runs of ``length`` codes (0: a word that no window has)."""
     n = len(codes) - length + 1
@@ -63,9 +68,9 @@ class Windows:
     place and the numbers of its items are kept, some 40 bytes in all.
     """
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.codes: dict[bytes, int] = {}
-        self.names: list[str] = sorted({item for item, _ in items})
+        self.names: list[str | None] = in_order({item for item, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
         flat, at, starts = array("I"), 0, defaultdict(list)
         for item, text in items:
@@ -145,7 +150,7 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_
     and the parts, of which the driver holds one at a time."""
     words = F.regexp_count(F.col(own("t")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
     items = benchmark.select(F.col(item_col).cast("string").alias(own("i")), F.col(text_col).cast("string").alias(own("t")))
-    items = items.filter(F.col(own("i")).isNotNull() & F.col(own("t")).isNotNull())
+    items = items.filter(F.col(own("t")).isNotNull())
     total = items.agg(F.sum(words)).first()[0] or 0
     n = max(1, ceil(total / max_windows))
     chosen = lambda part: items if n == 1 else items.filter(F.pmod(F.xxhash64(own("i"), own("t")), F.lit(n)) == part)
@@ -163,7 +168,7 @@ def scan_documents(
     share: int = SHARE,
     clean_text: bool = False,
 ) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (array, sorted as strings) and contaminated.
+    """``docs`` with n_words, n_hit, items (array, sorted as strings, null last) and contaminated.
 
     ``clean_text`` adds clean_text: the text without its hit spans.
     """
@@ -204,7 +209,7 @@ def _scan_once(docs: DataFrame, shared, text_col: str, share: int, clean_text: b
             n = 0 if hit is None else int(hit.sum())
             out["n_words"].append(len(words))
             out["n_hit"].append(n)
-            out["items"].append(sorted(found))
+            out["items"].append(in_order(found))
             out["contaminated"].append(n > 0 and share * n >= len(words))
             if clean_text:
                 out["clean_text"].append(without(text, hit))
@@ -231,7 +236,7 @@ def _scan_parts(docs: DataFrame, parts, text_col: str, window: int, share: int,
             for text in text_bytes(batch.column(batch.schema.get_field_index(own("t")))):
                 _, hit, found = shared.value.scan(fold(text))
                 spans.append(None if hit is None else np.flatnonzero(hit).astype("<i8").tobytes())
-                items.append(sorted(found))
+                items.append(in_order(found))
             return {own("spans"): spans, own("items"): items}
 
         narrow = keyed.select(own("a"), own("b"), F.col(text_col).alias(own("t")))
@@ -256,7 +261,7 @@ def _scan_parts(docs: DataFrame, parts, text_col: str, window: int, share: int,
             n = 0 if hit is None else int(hit.sum())
             out["n_words"].append(n_words)
             out["n_hit"].append(n)
-            out["items"].append(sorted(items or []))
+            out["items"].append(in_order(items or []))
             out["contaminated"].append(n > 0 and share * n >= n_words)
             if clean_text:
                 out["clean_text"].append(without(text, hit))

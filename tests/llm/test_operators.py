@@ -142,6 +142,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.scan_documents(empty, bench).collect() == []
 
 
+def test_decontamination_without_item_id(spark, tmp_path):
+    import duckdb
+
+    words = [f"b{i}" for i in range(40)]
+    bench = spark.createDataFrame([(None, " ".join(words[:14])), (None, " ".join(words[20:])), (3, " ".join(words[20:])), (None, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(words[:13])), (2, " ".join(words)), (3, "nothing here")], "doc_id long, text string")
+    for options in ({}, {"max_windows": 8}):
+        got = decontaminate.scan_documents(df, bench, **options).orderBy("doc_id").collect()
+        assert [(r["n_hit"], r["items"], r["contaminated"]) for r in got] == [(13, [None], True), (34, ["3", None], True), (0, [], False)]
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.op6_benchmark_decontamination(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(decontaminate.OP6_SQL).select(", ".join(got.columns)).fetchall())
+
+
 def places_of(items, words, window):
     hit, found = [False] * len(words), set()
     for item, text in items:
