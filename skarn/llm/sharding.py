@@ -45,6 +45,11 @@ ROUNDS = 3
 _KEY = [own("k"), own("id")]
 
 
+def _mark(docs: DataFrame) -> list[str]:
+    """The unique mark of a row, where ``write_shards`` has set one."""
+    return [own("mark")] if own("mark") in docs.columns else []
+
+
 def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")
     return docs.select(
@@ -53,6 +58,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(F.col(text_col).cast("string")).alias(_KEY[0]),
         F.xxhash64(F.col(id_col).cast("string")).alias(_KEY[1]),
+        *_mark(docs),
     )
 
 
@@ -168,16 +174,20 @@ def assign_shards(
         starts[s, r] = before.get(s, 0)
         before[s] = starts[s, r] + counts[s, r]
     first = docs.sparkSession.createDataFrame([(s, r, n) for (s, r), n in starts.items()], f"shard int, {own('range')} int, {own('first')} long")
-    part = Window.partitionBy("shard", own("range")).orderBy(*_KEY)
+    part = Window.partitionBy("shard", own("range")).orderBy(*_KEY, *_mark(docs))
     out = placed.join(F.broadcast(first), ["shard", own("range")])  # a row for each range and shard
     slot = F.col(own("first")) + F.row_number().over(part) - 1
-    return out.select(id_col, "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    return out.select(id_col, "size", "text_crc32", "shard", slot.cast("long").alias("slot"), *_mark(docs))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """All columns of ``docs`` as Parquet, one folder a shard, in order of slot."""
-    placed = assign_shards(docs, id_col, text_col, **options).drop("size", "text_crc32").dropDuplicates([id_col])
-    out = docs.join(placed, id_col)
+    """All rows and columns of ``docs`` as Parquet, one folder a shard, in order of slot.
+
+    Rows get a unique mark, fixed in the checkpoint folder, and each goes to its own shard and slot.
+    """
+    marked = cut(docs.withColumn(own("mark"), F.monotonically_increasing_id()))
+    placed = assign_shards(marked, id_col, text_col, **options).select(own("mark"), "shard", "slot")
+    out = marked.join(placed, own("mark")).drop(own("mark"))
     out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

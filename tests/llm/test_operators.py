@@ -249,6 +249,21 @@ def test_sharding_law(spark, docs, empty):
     assert (null["size"], null["text_crc32"]) == (8, None)
 
 
+def test_write_shards_writes_every_row(spark, tmp_path):
+    rows = [(None, f"t{i} " * 9, i) for i in range(40)] + [(7, "same " * 20, i) for i in range(300)] + [(i, "s" * i, i) for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long").repartition(3)
+    sharding.write_shards(df, f"{tmp_path}/out", shards=4, range_rows=50)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = out.collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r["doc_id"], r["text"], r["extra"]) for r in got), key=key) == sorted(rows, key=key)
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots and slots == list(range(len(slots)))
+    sizes = [sum(len(r["text"]) + 8 for r in got if r["shard"] == s) for s in range(4)]
+    assert max(sizes) - min(sizes) < 1000 and out.columns == [*df.columns, "slot", "shard"]
+
+
 def test_toxicity_counterfactual():
     clean = ["the town is calm today. we walk home", "a garden with many trees", "women and men live here", "immigrants work in our town"] * 30
     toxic = ["you are an idiotic fool. go home", "women are idiotic", "immigrants are idiotic people"] * 30
