@@ -26,17 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    One of our own is made only where it is unset and Spark runs in one process
+    (tests); on a cluster a folder of this machine would be lost to the executors.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="skarn-checkpoint-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` is what the cluster names; a folder of our own is
-    set only where neither the setting nor the context has one (local tests).
+    ``spark.checkpoint.dir`` is what the cluster names.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

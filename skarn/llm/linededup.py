@@ -10,16 +10,19 @@
    its arrays; the line texts are never joined.  Only hashes of frequent lines
    come back, as one short list per document, and the texts are rewritten.
 
-Skew: a line that makes up ``1 / HOT_SHARE`` of all (document, line) pairs or
-more would send that share of the probes to one shard.  There can be at most
-``HOT_SHARE`` such lines, whatever the corpus, so every scan task is given their
-hashes and drops them without a probe.
+Skew: a shard that owns a line of very many documents is probed in parts of about
+``part_rows`` probes, each with a copy of the shard's arrays.  Which shards are
+split, and in how many parts, follows from the counts; at most ``MAX_SPLIT``
+shards can be, as the parts grow where there would be more, so that this list is
+broadcast at any size.  Rows that repeat are salted where lists meet texts.
 
 Defined cases: a null or empty text is one empty line (whose key is empty and so
-never dropped while ``min_chars`` >= 1) and comes back as an empty text; a line
-that occurs twice in a document counts once for it; each row counts as one
-document, repeated rows too; null ids and extra columns are carried through; an
-empty table stays empty.
+never dropped while ``min_chars`` >= 1) and comes back as an empty text from
+``dedup_lines`` and unchanged from ``drop_frequent_lines``; a line that occurs
+twice in a document counts once for it; rows of one id are one document, a row
+without an id is a document of its own; extra columns are carried through, but
+for columns named n_lines or n_dropped, which ``dedup_lines`` replaces and
+``drop_frequent_lines`` keeps; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +43,12 @@ from .common import cut, own, row_key, table, text_bytes, with_batches
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-SHARD_KEYS = 250_000
-HOT_SHARE = 1000
+#: Keys of a shard, and probes of a part of it.
+SHARD_KEYS = PART_ROWS = 100_000
+#: Shards that are probed in several parts, at most; 12 bytes each.
+MAX_SPLIT = 500_000
+#: Salts of the join of texts with the lists of their frequent lines.
+SALTS = 8
 BLANK = b" \t\n\x0b\x0c\r"
 _WIDE = np.dtype("<i8")
 
@@ -137,8 +144,8 @@ class PerfectHash:
 # --- the operator -----------------------------------------------------------
 
 
-def _line_hashes(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(row key a, b, hashes): the distinct line hashes of each row, 16 bytes each."""
+def _line_hashes(keyed: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, row key a, b, hashes): the distinct line hashes of each row, 16 bytes each."""
 
     def compute(batch: pa.RecordBatch) -> dict:
         out = []
@@ -148,87 +155,114 @@ def _line_hashes(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
         return {own("lines"): out}
 
     return with_batches(
-        docs.select(F.col(own("a")), F.col(own("b")), F.col(text_col).alias(own("text"))),
+        keyed.select(F.col(id_col).alias(own("id")), own("a"), own("b"), F.col(text_col).alias(own("text"))),
         compute,
         [T.StructField(own("lines"), T.BinaryType())],
         drop=(own("text"),),
     )
 
 
-def _unpacked(lines: DataFrame, hot: set[bytes] | None) -> DataFrame:
-    """One row per row key and line: a, b and the two halves x, y of the hash."""
-    names = [own(c) for c in "abxy"]
+def _unpacked(lines: DataFrame, *kept: str) -> DataFrame:
+    """One row per row and line: the kept columns and the two halves x, y of the hash."""
+    rows = lines.select(*kept, own("lines"))
+    fields = [*rows.schema.fields[:-1], T.StructField(own("x"), T.LongType()), T.StructField(own("y"), T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(2).to_pylist()
-            if hot:
-                packed = [b"".join([p[i : i + 16] for i in range(0, len(p), 16) if p[i : i + 16] not in hot]) for p in packed]
+            packed = batch.column(batch.num_columns - 1).to_pylist()
             half = np.frombuffer(b"".join(packed), _WIDE).reshape(-1, 2)
             n = pa.array(np.repeat(np.arange(len(packed)), [len(p) // 16 for p in packed]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(n), batch.column(1).take(n), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())], names
-            )
+            columns = [batch.column(i).take(n) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())], [f.name for f in fields])
 
-    return lines.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def count_lines(lines: DataFrame) -> DataFrame:
-    """(x, y, n): documents of each distinct line hash, summed on the map side first."""
+    """(x, y, n): documents of each distinct line hash, summed on the map side first.
+
+    Where ids repeat, a document's line is taken once before the count.
+    """
+    ids = lines.filter(F.col(own("id")).isNotNull())
+    if ids.groupBy(own("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        rows = _unpacked(lines)
+    else:
+        once = _unpacked(ids, own("id")).distinct().select(own("x"), own("y"))
+        rows = once.unionByName(_unpacked(lines.filter(F.col(own("id")).isNull())))
+    return rows.groupBy(own("x"), own("y")).agg(F.count(F.lit(1)).alias(own("n")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            half = np.frombuffer(b"".join(batch.column(2).to_pylist()), _WIDE).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())], [own("x"), own("y")])
 
-    schema = T.StructType([T.StructField(own(c), T.LongType()) for c in "xy"])
-    return lines.mapInArrow(run, schema).groupBy(own("x"), own("y")).agg(F.count(F.lit(1)).alias(own("n")))
+def _shard(n_shards: int) -> Column:
+    return F.pmod(F.xxhash64(own("x")), F.lit(n_shards))
 
 
-def build_shards(counts: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
-    """One row per shard: displacements, fingerprints and counts as little-endian arrays."""
-    dealt = counts.withColumn(own("shard"), F.pmod(F.xxhash64(own("x")), F.lit(n_shards)))
+def slot_keys(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
+    """The 64 bits by which a line hash is placed in its shard."""
+    return _mix(x.view(np.uint64), salt) ^ y.view(np.uint64)
+
+
+def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
+    """One row per shard: a salt, and displacements, fingerprints and counts as arrays."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One place per distinct first half; of two lines that share it (about
-        # 2^-64 a pair) the second half in the fingerprint tells them apart only
-        # for the more frequent one, which is kept.
-        pdf = pdf.sort_values(own("n"), ascending=False).drop_duplicates(own("x"))
-        keys = pdf[own("x")].to_numpy(np.int64).view(np.uint64)
+        x, y = pdf[own("x")].to_numpy(np.int64), pdf[own("y")].to_numpy(np.int64)
+        salt, keys = 0, slot_keys(x, y, 0)
+        while len(np.unique(keys)) < len(keys):  # distinct hashes of 128 bits: another salt parts them
+            salt += 1
+            keys = slot_keys(x, y, salt)
         hashed = PerfectHash.build(keys)
         place = hashed.places(keys)
         prints, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint32)
-        prints[place] = pdf[own("y")].to_numpy(np.int64)
+        prints[place] = x
         count[place] = np.minimum(pdf[own("n")].to_numpy(), 2**32 - 1)
         return pd.DataFrame(
             {
                 own("shard"): [int(pdf[own("shard")].iloc[0])],
+                own("salt"): [salt],
                 own("displacements"): [hashed.displacements.astype("<i4").tobytes()],
                 own("prints"): [prints.astype("<i8").tobytes()],
                 own("counts"): [count.astype("<u4").tobytes()],
             }
         )
 
-    schema = f"{own('shard')} long, {own('displacements')} binary, {own('prints')} binary, {own('counts')} binary"
-    return dealt.groupBy(own("shard")).applyInPandas(build, schema)
+    schema = f"{own('shard')} long, {own('salt')} long, {own('displacements')} binary, {own('prints')} binary, {own('counts')} binary"
+    return counts.withColumn(own("shard"), _shard(n_shards)).groupBy(own("shard")).applyInPandas(build, schema)
+
+
+def split_shards(counts: DataFrame, n_shards: int, part_rows: int) -> DataFrame:
+    """(shard, parts) of the shards that are asked more often than ``part_rows`` times.
 
+    With T probes there are fewer than T / part_rows of them.
+    """
+    load = counts.groupBy(_shard(n_shards).alias(own("shard"))).agg(F.sum(own("n")).alias(own("load")))
+    return load.filter(F.col(own("load")) > part_rows).select(own("shard"), F.ceil(F.col(own("load")) / part_rows).cast("int").alias(own("parts")))
+
+
+def probe_shards(probes: DataFrame, shards: DataFrame, split: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
+    """The probes whose line has a count of at least ``min_docs``, by way of the arrays.
 
-def probe_shards(probes: DataFrame, shards: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
-    """The probes whose line has a count of at least ``min_docs``, by way of the arrays."""
-    sent = probes.withColumn(own("shard"), F.pmod(F.xxhash64(own("x")), F.lit(n_shards)))
+    Probes have a, b, x, y and a row number m, which deals them to the parts.
+    """
+    few = F.broadcast(split)  # MAX_SPLIT rows at most
+    part = F.pmod(F.xxhash64(own("m")), F.coalesce(own("parts"), F.lit(1)))
+    sent = probes.withColumn(own("shard"), _shard(n_shards)).join(few, own("shard"), "left").withColumn(own("part"), part)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(own("parts"), F.lit(1)).cast("long") - 1))
+    copies = shards.join(few, own("shard"), "left").withColumn(own("part"), every).drop(own("parts"))
+    names = [own(c) for c in "abxy"]
 
     def probe(asked: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or arrays.empty:
-            return asked[[own(c) for c in "abxy"]].iloc[:0]
+            return asked[names].iloc[:0]
         row = arrays.iloc[0]
         prints, count = np.frombuffer(row[own("prints")], "<i8"), np.frombuffer(row[own("counts")], "<u4")
         hashed = PerfectHash(np.frombuffer(row[own("displacements")], "<i4"), len(prints))
-        place = hashed.places(asked[own("x")].to_numpy(np.int64).view(np.uint64))
-        hit = (prints[place] == asked[own("y")].to_numpy(np.int64)) & (count[place] >= min_docs)
-        return asked.loc[hit, [own(c) for c in "abxy"]]
+        x = asked[own("x")].to_numpy(np.int64)
+        place = hashed.places(slot_keys(x, asked[own("y")].to_numpy(np.int64), int(row[own("salt")])))
+        return asked.loc[(prints[place] == x) & (count[place] >= min_docs), names]
 
-    schema = ", ".join(f"{own(c)} long" for c in "abxy")
-    return sent.groupBy(own("shard")).cogroup(shards.groupBy(own("shard"))).applyInPandas(probe, schema)
+    by = [own("shard"), own("part")]
+    asked = sent.select(*names, *by).groupBy(*by)
+    return asked.cogroup(copies.groupBy(*by)).applyInPandas(probe, ", ".join(f"{n} long" for n in names))
 
 
 def dedup_lines(
@@ -239,27 +273,24 @@ def dedup_lines(
     min_docs: int = MIN_DOCS,
     min_chars: int = MIN_CHARS,
     shard_keys: int = SHARD_KEYS,
-    hot_share: int = HOT_SHARE,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """``docs`` with the text rewritten, and n_lines and n_dropped added."""
     a, b = row_key(id_col, text_col)
     keyed = docs.withColumn(own("a"), a).withColumn(own("b"), b)
-    lines = cut(_line_hashes(keyed, text_col, min_chars))
+    lines = cut(_line_hashes(keyed, id_col, text_col, min_chars))
     counts = cut(count_lines(lines))
     size = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum(own("n")).alias("rows")).first()
     n_shards = max(1, ceil((size["keys"] or 0) / shard_keys))
-    least = max(min_docs, ceil((size["rows"] or 0) / hot_share))
-    # At most rows / least <= hot_share hashes: bounded, whatever the corpus.
-    hot = {
-        np.array([r[0], r[1]], _WIDE).tobytes()
-        for r in counts.filter(F.col(own("n")) >= least).select(own("x"), own("y")).collect()
-    }
-    shards = build_shards(counts, n_shards, min_docs)
-    found = probe_shards(_unpacked(lines, hot), shards, n_shards, min_docs)
+    split = split_shards(counts, n_shards, max(part_rows, ceil((size["rows"] or 0) / MAX_SPLIT)))
+    numbered = _unpacked(lines, own("a"), own("b")).withColumn(own("m"), F.monotonically_increasing_id())
+    found = probe_shards(numbered, build_shards(counts, n_shards), split, n_shards, min_docs)
     half = F.struct(own("x"), own("y"))
     # The line hashes of a row are distinct; rows that repeat share their list.
     per_row = found.groupBy(own("a"), own("b")).agg(F.collect_set(half).alias(own("drop")))
-    joined = keyed.join(per_row, [own("a"), own("b")], "left")
+    per_row = per_row.withColumn(own("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = keyed.withColumn(own("salt"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("long")))
+    joined = salted.join(per_row, [own("a"), own("b"), own("salt")], "left")
     rows = joined.select(*docs.columns, own("drop"))
 
     def compute(batch: pa.RecordBatch) -> dict:
@@ -270,15 +301,15 @@ def dedup_lines(
         packed, at = pairs.tobytes(), 0
         texts, n_lines, n_dropped = [], [], []
         for text, n in zip(text_bytes(batch.column(batch.schema.get_field_index(text_col))), sizes, strict=True):
-            gone = hot if not n else hot | {packed[i : i + 16] for i in range(at * 16, (at + n) * 16, 16)}
+            gone = {packed[i : i + 16] for i in range(at * 16, (at + n) * 16, 16)}
             at += n
-            split = (text or b"").split(b"\n")
-            kept = split
+            split_ = (text or b"").split(b"\n")
+            kept = split_
             if gone:
-                kept = [x for x in split if code_points(k := line_key(x)) < min_chars or line_hash(k) not in gone]
+                kept = [x for x in split_ if code_points(k := line_key(x)) < min_chars or line_hash(k) not in gone]
             texts.append(b"\n".join(kept).decode())
-            n_lines.append(len(split))
-            n_dropped.append(len(split) - len(kept))
+            n_lines.append(len(split_))
+            n_dropped.append(len(split_) - len(kept))
         return {text_col: texts, "n_lines": n_lines, "n_dropped": n_dropped}
 
     added = [
@@ -289,6 +320,20 @@ def dedup_lines(
     return with_batches(rows, compute, added, drop=(own("drop"),))
 
 
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None, **options) -> DataFrame:
+    """``docs`` with its own columns, in their order, and the text rewritten; null texts stay null.
+
+    ``length_col`` names a column that follows the length of a text that changed.
+    """
+    names = {c: own(f"c{i}") for i, c in enumerate(docs.columns) if c not in (text_col, id_col)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns], F.col(text_col).isNull().alias(own("null")))
+    done = dedup_lines(renamed, text_col, id_col, **options).withColumn(text_col, F.when(~F.col(own("null")), F.col(text_col)))
+    if length_col in names:
+        now = F.when(F.col("n_dropped") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(names[length_col]))
+        done = done.withColumn(names[length_col], now)
+    return done.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = dedup_lines(docs)

@@ -117,8 +117,8 @@ def test_perfect_hash():
 
 
 def test_line_dedup(docs, empty):
-    for hot in (1000, 2):  # the second sends frequent lines by the hot path
-        out = linededup.dedup_lines(docs, min_docs=3, shard_keys=5, hot_share=hot)
+    for part in (100_000, 1):  # the second splits the shards of frequent lines into parts
+        out = linededup.dedup_lines(docs, min_docs=3, shard_keys=5, part_rows=part)
         got = {(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["extra"]) for r in out.collect() if r["doc_id"] in (0, 2, 9, 10, 11)}
         assert got == {(0, "", 1, 0, "x"), (2, "   \n\t", 2, 0, "x"), (9, "a\na", 3, 1, "x"), (10, "b", 2, 1, "x"), (11, "", 1, 1, "x")}
     assert out.count() == 15
