@@ -3,41 +3,49 @@
 Each language has a zstandard raw-content dictionary made of a bounded sample of
 its labelled texts.  Texts are reduced to their lower-cased words (digits and
 signs to blanks) and cut into chunks; every chunk of the whole text is compressed
-with every dictionary, and the language with the smallest total wins.  Short
-texts are compressed at the highest level, which finds shorter matches.  Where
-the margin to the second is narrow the prediction is marked as rejected.
-
-Bounds, all parameters: a dictionary holds at most ``dict_bytes`` bytes, taken
-from the labelled documents of the smallest hash of the id, at most
-``doc_bytes`` from each (a slice that starts at a hashed place).  Prediction
-reads whole texts.
+with every dictionary, at one level for all, and the language with the smallest
+total wins.  Where the margin to the second is narrow the prediction is marked as
+rejected.
+
+Bounds, all parameters: a dictionary holds at most ``dict_bytes`` bytes and all
+dictionaries ``total_bytes`` (more languages share it evenly), taken from the
+labelled documents of the smallest hash of the id, at most ``doc_bytes`` from each
+(a slice that starts at a hashed place, so that a few long texts do not fill a
+dictionary).  Prediction reads whole texts and knows every language that has a
+labelled word; more than ``MAX_LANGUAGES`` of them are an error, as a column of
+that many values is no language column.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null
-languages teach nothing; with no labelled text everything is ``und``; ties go to
-the language with most labels; repeated rows are judged alike; a text that is
-shorter than any margin is still given its smallest language, marked rejected.
+languages teach nothing, nor do texts without a word; with no labelled text
+everything is ``und``; ties go to the language with most labels, then to the
+smaller name; a language of one labelled text keeps it whole; repeated rows are
+judged alike; a text that is shorter than any margin is still given its smallest
+language, marked rejected; columns named lang_pred, score and rejected are
+replaced, other extra columns are carried through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import own, table, text_bytes, with_batches
+from .common import cut, table, text_bytes, with_batches
 
 DICT_BYTES = 48 * 1024
+TOTAL_BYTES = 16 << 20
 DOC_BYTES = 1024
 CHUNK = 1024
 LEVEL = 6
-#: Texts of at most so many bytes are compressed at SHORT_LEVEL.
-SHORT_BYTES, SHORT_LEVEL = 256, 19
 #: Rejected: the smallest total is less than this share below the second.
 MARGIN = 0.02
-#: Languages with dictionaries, the most frequent ones of the labels.
-MAX_LANGUAGES = 200
+#: Languages in the labels beyond which learning raises an error.
+MAX_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -48,50 +56,76 @@ def learn_dictionaries(
     lang_col: str = "lang",
     *,
     dict_bytes: int = DICT_BYTES,
+    total_bytes: int = TOTAL_BYTES,
     doc_bytes: int = DOC_BYTES,
-    max_languages: int = MAX_LANGUAGES,
 ) -> dict[str, bytes]:
-    """Raw dictionary contents by language; what comes to the driver is
-    ``max_languages`` * ``dict_bytes`` bytes at most."""
-    lang, text = F.col(lang_col).alias("lang"), F.col(text_col)
+    """Raw dictionary contents by language, in order of the number of labels; the
+    driver holds a few times ``total_bytes``."""
+    lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col)
     rows = docs.filter(F.col(lang_col).isNotNull() & text.isNotNull() & (F.length(text) > 0))
     per_lang = max(1, dict_bytes // doc_bytes)
-    mark = F.xxhash64(F.col(id_col).cast("string"), F.lit(5))
-    start = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.greatest(F.lit(1), F.length(text) - doc_bytes // 2)).cast("int") + 1
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    mark = F.xxhash64(key, F.lit(5))
+    start = F.pmod(F.xxhash64(key, F.lit(7)), F.greatest(F.lit(1), F.length(text) - doc_bytes // 2)).cast("int") + 1
     # The smallest hash in each of some buckets: sums of longs on the map side,
     # however many documents a language has; then the texts of just those rows.
-    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(per_lang * 2))
+    bucket = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(per_lang * 2))
     marked = rows.select(lang, bucket.alias("b"), mark.alias("m"), F.substring(text, start, F.lit(doc_bytes)).alias("t"))
-    smallest = marked.groupBy("lang", "b").agg(F.min("m").alias("m"), F.count(F.lit(1)).alias("n"))
-    named = smallest.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    top = docs.sparkSession.createDataFrame([(r["lang"],) for r in named], "lang string")
-    wanted = smallest.join(F.broadcast(top), "lang").select("lang", "b", "m")
-    chosen = marked.join(F.broadcast(wanted), ["lang", "b", "m"]).dropDuplicates(["lang", "b"]).select("lang", "m", "t").collect()
+    smallest = cut(marked.groupBy("lang", "b").agg(F.min("m").alias("m"), F.count(F.lit(1)).alias("n")))
+    named = smallest.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(named) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
+    size = min(dict_bytes, total_bytes // max(1, len(named)))
+    wanted = smallest.orderBy("lang", "m").select("lang", "b", "m")
+    if size < dict_bytes:  # many languages: fewer documents of each
+        first = Window.partitionBy("lang").orderBy("m")  # 2 * per_lang rows a language
+        wanted = wanted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max(1, 2 * size // doc_bytes)).drop("r")
+    # A language has at most 2 * per_lang rows of 20 bytes here.
+    chosen = marked.join(F.broadcast(wanted), ["lang", "b", "m"]).groupBy("lang", "m").agg(F.min("t").alias("t")).collect()
     parts: dict[str, list] = {}
     for name, m, t in chosen:
         parts.setdefault(name, []).append((m, t))
     # In order of the number of labels, which decides ties.
     samples = {r["lang"]: [t for _, t in sorted(parts.get(r["lang"], []))] for r in named}
-    return {name: content[-dict_bytes:] for name, content in _own_lines(samples).items()}
+    made = _own_lines(docs.sparkSession, samples)
+    return {name: content[-size:] for name, content in made.items() if content}
 
 
-def _own_lines(samples: dict[str, list[str]]) -> dict[str, bytes]:
+def _own_lines(spark: SparkSession, samples: dict[str, list[str]]) -> dict[str, bytes]:
     """The contents without lines that another language's texts compress better.
 
     Passages in a foreign language would otherwise stand for the language of the
-    document that holds them.  One half of the texts judges the other's lines.
+    document that holds them.  One half of the texts judges the other's lines, on
+    the executors; a language without texts in the judging half keeps its lines.
     """
-    halves = [{name: [[words_only(x.encode()) for x in t.split("\n")] for t in texts[h::2]] for name, texts in samples.items()} for h in (0, 1)]
-    kept: dict[str, list[bytes]] = {name: [] for name in samples}
-    for mine, other in (halves, halves[::-1]):
-        judge = Compressors({name: b" ".join(x for t in texts for x in t) for name, texts in other.items()})
-        for name, texts in mine.items():
-            at = judge.names.index(name)
-            for line in (x for t in texts for x in t if x):
-                totals = judge.totals(line, CHUNK)
-                if not other[name] or totals[at] <= totals.min() * 1.02:
-                    kept[name].append(line)
-    return {name: b" ".join(lines) for name, lines in kept.items()}
+    folded = {name: [[words_only(x.encode()) for x in t.split("\n")] for t in texts] for name, texts in samples.items()}
+    kept: dict[str, list[tuple[int, bytes]]] = {name: [] for name in samples}
+    for h in (0, 1):
+        judges = {name: b" ".join(x for t in texts[1 - h :: 2] for x in t) for name, texts in folded.items()}
+        rows = [(name, n, b"\n".join(x for x in t if x)) for name, texts in folded.items() for n, t in enumerate(texts) if n % 2 == h]
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(judges)  # half of the samples
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            compressors = Compressors(shared.value)
+            for batch in batches:
+                out = []
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    lines = [x for x in text.split(b"\n") if x]
+                    if name in compressors.names:
+                        at = compressors.names.index(name)
+                        totals = [compressors.totals(x, CHUNK) for x in lines]
+                        lines = [x for x, t in zip(lines, totals, strict=True) if t[at] <= t.min() * 1.02]
+                    out.append(b" ".join(lines))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["name", "n", "t"])
+
+        table_ = spark.createDataFrame(rows, "name string, n int, t binary").repartition(max(1, min(len(rows) // 32, 256)))
+        for name, n, t in table_.mapInArrow(judge, "name string, n int, t binary").collect():
+            kept[name].append((n, bytes(t)))
+        shared.unpersist()
+    # The halves as they were judged, the even texts first.
+    return {name: b" ".join(t for n, t in sorted(texts, key=lambda x: (x[0] % 2, x[0])) if t) for name, texts in kept.items()}
 
 
 _FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -105,12 +139,12 @@ def words_only(text: bytes) -> bytes:
 
 
 class Compressors:
-    """Compressors by language, built once in a worker."""
+    """Compressors by language, built once in a worker; empty contents have none."""
 
-    def __init__(self, contents: dict[str, bytes]):
-        self.names = list(contents)
-        self.long = [self._one(c, LEVEL) for c in contents.values()]
-        self.short = [self._one(c, SHORT_LEVEL) for c in contents.values()]
+    def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
+        used = {name: content for name, content in contents.items() if content}
+        self.names = list(used)
+        self.compressors = [self._one(c, level) for c in used.values()]
 
     @staticmethod
     def _one(content: bytes, level: int):
@@ -122,11 +156,10 @@ class Compressors:
 
     def totals(self, text: bytes, chunk: int) -> np.ndarray:
         words = words_only(text)
-        compressors = self.short if len(words) <= SHORT_BYTES else self.long
-        out = [0] * len(compressors)
+        out = [0] * len(self.compressors)
         for at in range(0, len(words), chunk):
             part = words[at : at + chunk]
-            for i, compress in enumerate(compressors):
+            for i, compress in enumerate(self.compressors):
                 out[i] += len(compress(part))
         return np.array(out)
 
@@ -144,6 +177,7 @@ def identify(
     *,
     chunk: int = CHUNK,
     margin: float = MARGIN,
+    level: int = LEVEL,
 ) -> DataFrame:
     """``docs`` with lang_pred, score (how far the second is behind) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(contents)  # bounded by its making
@@ -151,7 +185,7 @@ def identify(
 
     def compute(batch: pa.RecordBatch) -> dict:
         if not ready:
-            ready.append(Compressors(shared.value))
+            ready.append(Compressors(shared.value, level))
         names = ready[0].names
         out: dict[str, list] = {"lang_pred": [], "score": [], "rejected": []}
         for text in text_bytes(batch.column(batch.schema.get_field_index(text_col))):
