@@ -7,11 +7,15 @@ of open bins.  The open bins are keyed by their free space in a bitset, so the
 tightest bin that still takes a piece is one shift and one lowest-set-bit away;
 when one bin too many would be open, the fullest closes first.
 
-Within a group the pieces arrive longest first, ties by a hash, which makes the
-rule close to best-fit decreasing while the space stays bounded.
+Within a group the pieces arrive in runs of some thousands, by a hash, and within
+a run longest first.  So every run brings short pieces that fill what is open, and
+a small number of open bins does: on check_s (55,398 pieces, 15,498 sequences at
+least) 1024 open bins need 15,499 sequences, 256 need 16,347 and 4096 need 15,499;
+one run of all pieces would need 16,888, 17,726 and 15,624.
 
 Defined cases: a null or empty text is the end-of-text id alone; an empty table
-gives no rows; repeated rows are packed as often as they occur; a null id is
+gives no rows; repeated rows are packed as often as they occur and are dealt to
+groups like any others; a null id is
 carried through; other columns are ignored; a text of any length is cut into
 full pieces, of which only the last may be shorter.
 """
@@ -34,8 +38,9 @@ from .common import cut, own, slices, table, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
-OPEN_BINS = 32_768
+OPEN_BINS = 1024
 GROUP_PIECES = 100_000
+RUN_PIECES = 8000
 #: Tokenized words that a task keeps; a full memory is emptied, never relied on.
 MEMORY_WORDS = 800_000
 
@@ -226,6 +231,7 @@ def pack(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     group_pieces: int = GROUP_PIECES,
+    run_pieces: int = RUN_PIECES,
     order: tuple[str, ...] = ("piece", "start", "ids_crc32"),
 ) -> DataFrame:
     """``pieces`` with sequence_id and offset; lengths must be 1 to ``capacity``.
@@ -239,15 +245,17 @@ def pack(
     keys = [n for n in dealt if n != "ids"]
     row, group_, mark, ties = own("row"), own("group"), own("mark"), [F.col(c) for c in order if c in dealt]
     stable = cut(pieces.select(*dealt, F.monotonically_increasing_id().alias(row)))
-    groups = max(1, ceil(stable.count() / group_pieces))
+    n = stable.count()
+    groups = max(1, ceil(n / group_pieces))
+    runs = max(1, ceil(n / groups / run_pieces))
     narrow = stable.select(*keys, row)
     schema = T.StructType(
         [*narrow.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    marked = narrow.withColumn(mark, F.xxhash64(*[F.col(c) for c in keys]))
+    marked = narrow.withColumn(mark, F.xxhash64(*[F.col(c) for c in keys], F.col(row)))  # the row number parts rows that repeat
     at_group = marked.withColumn(group_, F.pmod(F.xxhash64(F.col(mark)), F.lit(groups)).cast("int"))
     ordered = at_group.repartitionById(groups, F.col(group_)).sortWithinPartitions(
-        F.col(group_), F.desc("length"), F.col(mark), *ties
+        F.col(group_), F.pmod(F.xxhash64(F.col(mark), F.lit(3)), F.lit(runs)), F.desc("length"), F.col(mark), *ties
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
