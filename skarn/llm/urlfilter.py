@@ -6,12 +6,18 @@ candidate key for each of its host suffixes and each listed path length; those
 that pass the blocked Bloom filter (one 512-bit block a key) go to a hash join
 with the list, which removes the false positives.  The longest listed URL wins.
 
-The filter has a fixed number of bits, so what the driver gathers and broadcasts
-does not grow with the list; with a longer list more candidates pass to the join.
+The filter has ``BITS_PER_KEY`` bits a listed URL, between 1 MB and ``MAX_BLOCKS``
+blocks (64 MB), so what the driver gathers and broadcasts is bounded; beyond some
+53 million listed URLs more candidates pass to the join.
+
+Hosts, paths and candidates are built-in functions.  Only pages with a candidate
+that passes the filter are shuffled, by (host, path) and a salt; all others get
+the default where they are read.
 
 Defined cases: null URLs and URLs without ``://`` have an empty host and path,
-fit no rule and get the default; repeated rows are judged alike; extra columns
-are carried through; of equal listed URLs the smallest verdict counts (``allow``).
+fit no rule and get the default; with an empty list all do; repeated rows are
+judged alike; columns named host, path, rule and verdict are replaced, other extra
+columns are carried through; of equal listed URLs the smallest verdict counts (``allow``).
 """
 
 from __future__ import annotations
@@ -20,14 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own, table, with_batches
+from .common import cut, own, table, with_batches
 
-BLOCKS = 1 << 14  # of 512 bits: 1 MB
+#: Blocks of 512 bits: 1 MB and 64 MB.
+MIN_BLOCKS, MAX_BLOCKS = 1 << 14, 1 << 20
+BITS_PER_KEY = 10
 PROBES = 6
+#: Salts of the join of pages with the verdicts of their host and path.
+SALTS = 16
 DEFAULT = "allow"
 
 #: The rules of the digest query: host, path, verdict.  Fixed values.
@@ -39,20 +49,15 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
+#: A-Z and what they are lowered to.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
+def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path; both empty for null or without ``://``."""
-    if url is None:
-        return "", ""
-    _, mark, rest = url.partition("://")
-    if not mark:
-        return "", ""
-    ends = [i for i in (rest.find(c) for c in "?#") if i >= 0]
-    rest = rest[: min(ends)] if ends else rest
-    slash = rest.find("/")
-    return (rest.translate(_LOWER), "") if slash < 0 else (rest[:slash].translate(_LOWER), rest[slash:])
+    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^?#]*)", 1), F.lit(""))
+    host = F.translate(F.regexp_extract(rest, "^[^/]*", 0), _UPPER, _LOWER)
+    return host, F.regexp_extract(rest, "(?s)/.*$", 0)
 
 
 def bloom_bits(key: str, blocks: int) -> tuple[int, list[int]]:
@@ -84,12 +89,13 @@ def build_bloom(listed: DataFrame, blocks: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
+def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     """Host suffixes at dots, each with each listed length of the path's start."""
-    if not host:
-        return []
-    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
-    return [host[s:] + path[:n] for s in starts for n in lengths if n <= len(path)]
+    labels = F.split(host, r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substr(path, F.lit(1), n))
+    every = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
+    return F.when(host != "", every).otherwise(F.array().cast("array<string>"))
 
 
 def filter_urls(
@@ -98,11 +104,12 @@ def filter_urls(
     url_col: str = "url",
     *,
     default: str = DEFAULT,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     ``listed`` has host, path and verdict; its path starts with ``/`` or is empty.
+    ``blocks``: those of the filter, which else follow from the list.
     """
     entries = listed.select(
         F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("key"),
@@ -110,9 +117,11 @@ def filter_urls(
         F.col("verdict").alias("verdict"),
     )
     # A URL has a bounded length, and so have these lists of lengths.
-    lengths = sorted(r[0] for r in entries.select("n").distinct().collect())
-    context = pages.sparkSession.sparkContext
-    bloom = context.broadcast(build_bloom(entries, blocks))
+    of_length = entries.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
+    lengths, n_listed = sorted(r["n"] for r in of_length), sum(r["k"] for r in of_length)
+    if blocks is None:
+        blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, n_listed * BITS_PER_KEY // 512))
+    bloom = pages.sparkSession.sparkContext.broadcast(build_bloom(entries, blocks))
 
     def passes(key: str) -> bool:
         block, bits = bloom_bits(key, blocks)
@@ -120,29 +129,33 @@ def filter_urls(
         return all(int(words[block * 8 + (b >> 6)]) >> (b & 63) & 1 for b in bits)
 
     def compute(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"host": [], "path": [], own("keys"): []}
         asked: dict[str, bool] = {}
-        for url in batch.column(batch.schema.get_field_index(url_col)).to_pylist():
-            host, path = split_url(url)
-            keys = candidates(host, path, lengths)
+        out = []
+        for keys in batch.column(batch.schema.get_field_index(own("keys"))).to_pylist():
             for k in keys:
                 if k not in asked:
                     asked[k] = passes(k)
-            out["host"].append(host)
-            out["path"].append(path)
-            out[own("keys")].append([k for k in keys if asked[k]])
-        return out
-
-    text = T.StringType()
-    fields = [T.StructField("host", text), T.StructField("path", text), T.StructField(own("keys"), T.ArrayType(text))]
-    clean = pages.drop("rule", "verdict")
-    parsed = with_batches(clean, compute, fields)
-    asked = parsed.select("host", "path", F.explode(own("keys")).alias("key")).distinct()
+            out.append([k for k in keys if asked[k]])
+        return {own("keys"): out}
+
+    host, path = split_url(F.col(url_col))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # The filter reads a key's host and path once for each page, not the page's other columns twice.
+    split = pages.select(*kept, host.alias(own("host")), path.alias(own("path")))
+    possible = split.withColumn(own("keys"), candidates(F.col(own("host")), F.col(own("path")), lengths))
+    parsed = with_batches(possible, compute, [T.StructField(own("keys"), T.ArrayType(T.StringType()))])
+    parsed = parsed.withColumnsRenamed({own("host"): "host", own("path"): "path"})
+    hit = cut(parsed.filter(F.size(own("keys")) > 0))
+    asked = hit.select("host", "path", F.explode(own("keys")).alias("key")).distinct()
     exact = entries.groupBy("key").agg(F.min("verdict").alias("verdict"))
     best = asked.join(exact, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
-    hits = best.select("host", "path", F.col("b.key").alias("rule"), F.col("b.verdict").alias("verdict"))
-    out = parsed.drop(own("keys")).join(hits, ["host", "path"], "left")
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*[c for c in clean.columns if c not in ("host", "path")], "host", "path", "rule", "verdict")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    rules = best.select("host", "path", F.col("b.key").alias("rule"), F.col("b.verdict").alias("verdict"), part.alias(own("salt")))
+    salted = hit.withColumn(own("salt"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("long")))
+    found = salted.join(rules, ["host", "path", own("salt")], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    none = parsed.filter(F.size(own("keys")) == 0).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    shown = [*kept, "host", "path", "rule", "verdict"]
+    return found.select(*shown).unionByName(none.select(*shown))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
