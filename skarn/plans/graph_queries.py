@@ -96,7 +96,7 @@ def delete_insert_update(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> G.TemporalGraph:
-    """Users, events and days of all events.  _GRAPH still has two event types and no days."""
+    """Users, events and days of all events."""
     e = table(spark, sf_dir, "events")
     t = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("t")
     day = F.concat(F.lit("d"), F.date_format("ts", "yyyy-MM-dd")).alias("day")
@@ -123,15 +123,15 @@ def _graph(spark: SparkSession, sf_dir: str) -> G.TemporalGraph:
 
 _GRAPH = """
 e AS (
-    SELECT event_id, user_id, event_type, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id,
+    SELECT event_id, user_id, event_type, strftime(ts, 'd%Y-%m-%d') AS day, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id,
            lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next_same
-    FROM events WHERE event_type IN ('error', 'purchase')
+    FROM events
 ), edges AS (
     SELECT 'u' || user_id AS source, 'e' || event_id AS target, 'enables' AS edge_type, t FROM e
     UNION ALL SELECT 'e' || event_id, 'e' || next_id, 'before', t FROM e WHERE next_id IS NOT NULL
     UNION ALL SELECT 'e' || event_id, 'e' || next_same, 'causes', t FROM e WHERE event_type = 'error' AND next_same IS NOT NULL
 ), seen AS (
-    SELECT 'u' || user_id AS id, 'user' AS node_type, t FROM e UNION ALL SELECT 'e' || event_id, event_type, t FROM e
+    SELECT 'u' || user_id AS id, 'user' AS node_type, t FROM e UNION ALL SELECT 'e' || event_id, event_type, t FROM e UNION ALL SELECT day, 'day', t FROM e
 ), types AS (SELECT id, any_value(node_type) AS node_type FROM seen GROUP BY id),
 touches AS (SELECT id, t FROM seen UNION ALL SELECT source, t FROM edges UNION ALL SELECT target, t FROM edges),
 nodes AS (SELECT t.id, any_value(y.node_type) AS node_type, min(t) AS first_seen, max(t) AS last_seen FROM touches t JOIN types y ON t.id = y.id GROUP BY t.id)"""
@@ -202,7 +202,7 @@ def graph_k_hop_strict(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {_GRAPH}, step AS (SELECT source AS a, target AS b FROM edges WHERE edge_type IN ('causes', 'enables', 'prevents')),
 walk AS (
-    SELECT [id] AS path, id AS last FROM nodes WHERE node_type = 'user' AND id IN ('u1', 'u2', 'u3')
+    SELECT [id] AS path, id AS last FROM nodes WHERE node_type = 'user'
     UNION ALL
     SELECT list_append(path, b), b FROM walk JOIN step ON a = last WHERE len(path) <= 4 AND NOT list_contains(path, b)
 )

@@ -245,7 +245,10 @@ def hll_merge(spark, sf_dir):
     return S.hll_estimate(S.hll_merge(*parts)).crossJoin(exact)  # one row each
 
 
-@query(f"""WITH hll_source AS (SELECT c AS upto, user_id FROM events, (VALUES (100), (500), (1000), (5000), (10000)) v(c) WHERE event_id < c)
+@query(f"""WITH stream AS (SELECT max(event_id) + 1 AS n FROM events), marks AS (
+    SELECT c FROM (VALUES (100), (500), (1000), (5000), (10000)) v(c) UNION SELECT greatest(n, 10000) FROM stream
+    UNION SELECT m * power(10, k)::BIGINT FROM (VALUES (1), (5)) v(m), range(4, 18) r(k), stream WHERE m * power(10, k) < n
+), hll_source AS (SELECT c AS upto, user_id FROM events JOIN marks ON event_id < c)
 SELECT e.upto, e.estimate, x.exact FROM ({_hll_sql(12, by='upto')}) e JOIN (SELECT upto, count(DISTINCT user_id) AS exact FROM hll_source GROUP BY upto) x ON e.upto = x.upto""")
 def hll_checkpoints(spark, sf_dir):
     """Marks at 100 to 10000, then 50000, 100000, 500000 and so on, and one after the last event."""
