@@ -130,6 +130,42 @@ def session_min_events(spark, sf_dir):
     return _sessions(spark, sf_dir).filter("n_events >= 2").select("user_id", "session_id", "n_events", r4("total_value").alias("total_value"))
 
 
+_OPEN = "STRUCT(id BIGINT, s DOUBLE, e DOUBLE, n BIGINT, v DOUBLE, c BOOLEAN, m BIGINT)[]"
+
+
+@query(f"""WITH RECURSIVE arrived AS (
+    SELECT *, row_number() OVER o AS seq, epoch_us(max(ts) OVER o) / 1e6 - 14400 AS wm
+    FROM (SELECT *, ts + to_minutes((event_id * 7919) % 97 * 10) AS arrival FROM events)
+    WINDOW o AS (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING)
+), o AS (
+    SELECT user_id, epoch_us(ts) / 1e6 AS t, seq, wm, value AS v, event_type = 'purchase' AS c, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM arrived
+), walk AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS counter, []::{_OPEN} AS live, []::{_OPEN} AS closed, 0::BIGINT AS seq FROM o
+    UNION ALL
+    SELECT user_id, k, counter, list_filter(live, lambda x: x.e + 21600 >= wm), list_filter(live, lambda x: x.e + 21600 < wm), seq FROM (
+        SELECT user_id, k, seq, wm, counter + CASE WHEN len(met) = 0 THEN 1 ELSE 0 END AS counter, list_append(rest, CASE WHEN len(met) = 0
+            THEN struct_pack(id := counter + 1, s := t, e := t, n := 1::BIGINT, v := v, c := c, m := 0::BIGINT)
+            ELSE struct_pack(id := list_min(list_transform(met, lambda x: struct_pack(s := x.s, id := x.id))).id,
+                s := least(t, list_min(list_transform(met, lambda x: x.s))), e := greatest(t, list_max(list_transform(met, lambda x: x.e))),
+                n := (1 + list_sum(list_transform(met, lambda x: x.n)))::BIGINT, v := v + list_sum(list_transform(met, lambda x: x.v)),
+                c := c OR list_bool_or(list_transform(met, lambda x: x.c)), m := (len(met) - 1 + list_sum(list_transform(met, lambda x: x.m)))::BIGINT) END) AS live
+        FROM (
+            SELECT o.*, w.counter, list_filter(w.live, lambda x: x.s <= o.t AND o.t <= x.e + 21600) AS met, list_filter(w.live, lambda x: NOT (x.s <= o.t AND o.t <= x.e + 21600)) AS rest
+            FROM walk w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1
+        )
+    )
+), given AS (
+    SELECT user_id, unnest(closed) AS x, seq AS closed_at FROM walk
+    UNION ALL SELECT user_id, unnest(live), NULL FROM walk WHERE (user_id, k) IN (SELECT (user_id, max(k)) FROM walk GROUP BY user_id)
+)
+SELECT user_id, x.id AS session_id, round(x.s, 6) AS session_start, round(x.e, 6) AS session_end, x.n AS n_events, round(x.v, 4) AS total_value, x.c AS converted, x.m AS merged, closed_at FROM given""")
+def session_windows_strict(spark, sf_dir):
+    """Sessions of events that arrive late, as an event-at-a-time engine closes and merges them."""
+    e = _arrivals(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    out = W.strict_sessions(e, "user_id", "t", [F.col("arrival"), F.col("event_id")], gap_s=21600.0, lag_s=14400.0, value="value", converted=F.col("event_type") == "purchase")
+    return out.withColumns({"session_start": F.round("session_start", 6), "session_end": F.round("session_end", 6), "total_value": r4("total_value")})
+
+
 @query(f"""{_SESSIONS} SELECT count(*) AS n_sessions, round(avg(duration_s), 4) AS avg_duration_s, round(avg(n_events), 4) AS avg_events,
 round(sum(CASE WHEN converted THEN total_value ELSE 0 END), 4) AS revenue, round(100.0 * avg(CASE WHEN converted THEN 1 ELSE 0 END), 4) AS conversion_pct FROM sessions""")
 def session_rollup(spark, sf_dir):
@@ -256,7 +292,7 @@ def hll_checkpoints(spark, sf_dir):
     end = (users.agg(F.max("event_id")).first()[0] or 0) + 1
     more = {m * 10**k for k in range(4, len(str(end))) for m in (1, 5) if m * 10**k < end} | {max(end, 10000)}
     upto = sorted({100, 500, 1000, 5000, 10000} | more)
-    marks = F.filter(F.array(*[F.lit(c) for c in upto]), lambda c: F.col("event_id") < c)
+    marks = F.filter(F.array(*[F.lit(c).cast("long") for c in upto]), lambda c: F.col("event_id") < c)
     users = users.select("item", F.explode(marks).alias("upto"))
     exact = users.groupBy("upto").agg(F.countDistinct("item").alias("exact"))
     return S.hll_estimate(S.hll_registers(users, F.col("item"), 12, ["upto"]), 12, ["upto"]).join(exact, "upto")
