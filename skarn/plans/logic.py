@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 
 
+#: The one argument of a stored fact that has none.
+HOLDS = "true"
+#: Rounds of a fixpoint after which a relation is written in one piece.
+COMPACT = 16
+
+
 @dataclass(frozen=True)
 class Var:
     name: str
@@ -253,6 +260,8 @@ def match(relation: DataFrame, atom: Atom) -> DataFrame:
     """The bindings of an atom: constants filter, a repeated variable is an equality."""
     if any(isinstance(a, Func) for a in atom.args):
         raise NotImplementedError("function terms are parsed but not executed")
+    if not atom.args:  # whether it holds: a row without columns, or none
+        return relation.limit(1).select()
     first: dict[str, str] = {}
     out = relation
     for name, arg in zip(_columns(len(atom.args)), atom.args, strict=True):
@@ -278,14 +287,29 @@ def solve(body: list[tuple[Atom, DataFrame]]) -> DataFrame:
     for a, r in body:
         if a.negated:
             seen = match(r, Atom(a.name, a.args))
-            out = out.join(seen, [c for c in seen.columns if c in out.columns], "left_anti")
+            shared = [c for c in seen.columns if c in out.columns]
+            out = out.join(seen, shared or F.lit(True), "left_anti")
     return out
 
 
 def head_rows(bindings: DataFrame, head: Atom) -> DataFrame:
+    if not head.args:
+        return bindings.select(F.lit(HOLDS).alias("a0"))
     return bindings.select(*[(F.col(a.name) if isinstance(a, Var) else F.lit(str(a))).alias(c) for c, a in zip(_columns(len(head.args)), head.args, strict=True)])
 
 
+def shown(item) -> str:
+    """The text of a term, atom or clause, as the parser reads it."""
+    if isinstance(item, Var):
+        return f"?{item.name}"
+    if isinstance(item, Clause):
+        return shown(item.head) + (" :- " + ", ".join(map(shown, item.body)) if item.body else "")
+    if isinstance(item, (Atom, Func)):
+        text = f"{item.name}({', '.join(map(shown, item.args))})" if item.args else item.name
+        return f"not {text}" if isinstance(item, Atom) and item.negated else text
+    return str(item)
+
+
 @dataclass
 class LogicEngine:
     spark: SparkSession
@@ -305,9 +329,9 @@ class LogicEngine:
         clause = horn(parse_formula(text)) if "->" in text else parse_clause(text)
         if clause.body:
             self.rules.append(clause)
-        elif clause.head.is_ground and clause.head.args:
+        elif clause.head.is_ground:
             self.stated.append(clause)
-            self.load(clause.head.name, self.spark.createDataFrame([tuple(map(str, clause.head.args))]))
+            self.load(clause.head.name, self.spark.createDataFrame([tuple(map(str, clause.head.args)) or (HOLDS,)]))
         else:
             raise ValueError("a fact must be ground")
         return clause
@@ -329,9 +353,9 @@ class LogicEngine:
 
     # Inference
     def _relation(self, name: str, arity: int, relations: dict[str, DataFrame]) -> DataFrame:
-        if name in relations:
+        if name in relations and len(relations[name].columns) == max(1, arity):
             return relations[name]
-        return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in _columns(arity)))
+        return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in _columns(arity) or ["a0"]))
 
     def _needed(self, goal: str) -> set[str]:
         """Predicates that can take part in a proof of ``goal``."""
@@ -357,15 +381,21 @@ class LogicEngine:
                 return [[r for r in rules if level[r.head.name] == i] for i in range(max(level.values(), default=0) + 1)]
         raise ValueError("negation through recursion")
 
-    def saturate(self, goal: str | None = None, max_rounds: int = 500) -> dict[str, DataFrame]:
-        """All relations that ``goal`` depends on (all, if none), at their fixpoint."""
+    def saturate(self, goal: str | None = None, max_rounds: int | None = None) -> dict[str, DataFrame]:
+        """All relations that ``goal`` depends on (all, if none), at their fixpoint.
+
+        A round writes only what is new; a relation is the union of what was written,
+        put together again after every ``COMPACT`` rounds.  With ``max_rounds`` an
+        unfinished fixpoint is an error.
+        """
         names = self._needed(goal) if goal else set(self.relations) | {r.head.name for r in self.rules}
         relations = {n: r.distinct() for n, r in self.relations.items() if n in names}
         for rules in self._strata(names):
             heads = {r.head.name for r in rules}
             recursive = any(a.name in heads for r in rules for a in r.body)
             delta: dict[str, DataFrame] | None = None
-            for _ in range(max_rounds):
+            done = False
+            for n in count(1) if max_rounds is None else range(1, max_rounds + 1):
                 fresh: dict[str, DataFrame] = {}
                 for r in rules:
                     spots = [None] if delta is None else [i for i, a in enumerate(r.body) if a.name in delta and not a.negated]
@@ -385,22 +415,26 @@ class LogicEngine:
                     grown[name] = new
                 for name, new in grown.items():
                     relations[name] = new if name not in relations else relations[name].unionByName(new)
-                    relations[name] = cut(relations[name]) if recursive else relations[name]
+                    if recursive and n % COMPACT == 0:
+                        relations[name] = cut(relations[name])
                 delta = grown
-                if not recursive or not grown:
+                done = not recursive or not grown
+                if done:
                     break
+            if not done:
+                raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         return relations
 
-    def ask(self, text: str, limit: int | None = 100) -> DataFrame:
+    def ask(self, text: str, limit: int | None = 100, relations: dict[str, DataFrame] | None = None) -> DataFrame:
         """The distinct bindings of the query's variables."""
         atom = parse_atom(text)
-        relation = self._relation(atom.name, len(atom.args), self.saturate(atom.name))
+        relation = self._relation(atom.name, len(atom.args), self.saturate(atom.name) if relations is None else relations)
         out = match(relation, atom).distinct()
         return out if limit is None else out.limit(limit)
 
-    def proves(self, text: str) -> bool:
+    def proves(self, text: str, relations: dict[str, DataFrame] | None = None) -> bool:
         atom = parse_atom(text)
-        relation = self._relation(atom.name, len(atom.args), self.saturate(atom.name))
+        relation = self._relation(atom.name, len(atom.args), self.saturate(atom.name) if relations is None else relations)
         for c, a in zip(_columns(len(atom.args)), atom.args, strict=True):
             relation = relation if isinstance(a, Var) else relation.filter(F.col(c) == str(a))
         return not relation.isEmpty()
@@ -418,11 +452,12 @@ class LogicEngine:
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], "predicate string, args string")
 
-    def query(self, text: str, arities: dict[str, int] | None = None) -> dict:
-        """The answer of the query route: proved, answers and arity warnings."""
+    def query(self, text: str, arities: dict[str, int] | None = None, limit: int = 100) -> dict:
+        """The answer of the query route: proved, answers and arity warnings; the rules run once."""
         atom = parse_atom(text)
-        rows = [r.asDict() for r in self.ask(text).collect()]  # at most 100
-        out = {"query": text, "proved": self.proves(text), "answers": rows, "answer_count": len(rows)}
+        relations = self.saturate(atom.name)
+        rows = [r.asDict() for r in self.ask(text, limit, relations).collect()] if variables(atom.args) else []
+        out = {"query": text, "proved": bool(rows) or self.proves(text, relations), "answers": rows, "answer_count": len(rows)}
         known = (arities or {}).get(atom.name)
         if known is not None and known != len(atom.args):
             out["warnings"] = [f"{atom.name} has arity {known}, not {len(atom.args)}"]

@@ -16,9 +16,14 @@ def zipf_items(rows: DataFrame, u: Column, n_items: int, exponent: float) -> Dat
     cum = items.select("i", (F.sum("w").over(Window.orderBy("i")) / F.sum("w").over(Window.partitionBy())).alias("c"))
     steps = F.array_sort(F.collect_list(F.struct("c", "i")))
     table = cum.agg(steps.alias("steps"))
-    found = F.filter("steps", lambda s: s["c"] + 1e-12 >= F.col("__u"))
+    # Halving: the first step at or above u, in as many looks as n_items has bits.
+    middle = lambda b: F.floor((b["lo"] + b["hi"]) / 2).cast("int")
+    high_enough = lambda b: F.element_at("steps", middle(b))["c"] + 1e-12 >= F.col("__u")
+    halved = lambda b, _: F.struct(F.when(high_enough(b), b["lo"]).otherwise(F.least(middle(b) + 1, b["hi"])).alias("lo"), F.when(high_enough(b), middle(b)).otherwise(b["hi"]).alias("hi"))
+    whole = F.struct(F.lit(1).alias("lo"), F.lit(n_items).alias("hi"))
+    found = F.element_at("steps", F.aggregate(F.sequence(F.lit(1), F.lit(n_items.bit_length())), whole, halved)["lo"])
     placed = rows.withColumn("__u", u).crossJoin(F.broadcast(table))  # one row
-    return placed.withColumn("item", F.format_string("item-%05d", found[0]["i"])).drop("__u", "steps")
+    return placed.withColumn("item", F.format_string("item-%05d", found["i"])).drop("__u", "steps")
 
 
 def _hashed(seed: int, *columns: str) -> Column:
@@ -84,3 +89,11 @@ def sensor_stream(spark: SparkSession, sensors: int, seconds: int, step_s: int,
     half = grid.filter((F.col("t") == 0) & (F.col("s") < sensors // 2))
     later = half.select(F.lit("threshold").alias("kind"), name.alias("sensor_id"), F.lit(seconds / 2.0).alias("event_time"), F.lit(75.0).alias("value"))
     return readings.unionByName(starts).unionByName(later)
+
+
+def sample_actuals(predicted: DataFrame, dates: list[str], *, key: str = "ticker", spread: float = 0.04, seed: int = 42) -> DataFrame:
+    """Wide actual prices for wide predictions: each within half of ``spread`` of its prediction, by a hash."""
+    columns = [F.round(F.col(f"`{d}`") * (1 + (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.lit(d)), 256), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5) * spread), 2).alias(d) for d in dates]
+    out = predicted.select(key, *columns)
+    change = F.col(f"`{dates[-1]}`") - F.col(f"`{dates[0]}`")
+    return out.select("*", F.round(change, 2).alias("change"), F.round(change / F.col(f"`{dates[0]}`") * 100, 2).alias("change_pct"))

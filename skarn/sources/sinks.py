@@ -26,3 +26,20 @@ def split_late(df: DataFrame, on_time_path: str, late_path: str) -> None:
     """A batch with a flag ``late``, written to two sinks."""
     for late, path in ((False, on_time_path), (True, late_path)):
         df.filter(F.col("late") == late).drop("late").write.mode("append").parquet(path)
+
+
+def console_table(df: DataFrame, rows: int = 20, width: int = 20) -> str:
+    """The first rows as a table of text, for a terminal."""
+    return df._show_string(rows, width)
+
+
+def html_rows(df: DataFrame, columns: list[str], css_class: str) -> DataFrame:
+    """One ``<tr>`` a row, of the class that a column names; cells are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = [F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns]
+    return df.select("*", F.concat(F.lit('<tr class="'), F.col(css_class), F.lit('">'), *cells, F.lit("</tr>")).alias("html"))
+
+
+def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of a report, such as 25 sessions or 20 alerts."""
+    return df.orderBy(*order).limit(n)
