@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.  Internal columns carry the prefix
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the executors drop the shuffle files of plans that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which an iterative
+    plan, whose rounds leave little garbage in the driver, may not see for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, own, table, text_bytes, with_batches
+from .common import cut, own, release, table, text_bytes, with_batches
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
@@ -211,6 +211,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         now = cut(_small_star(_large_star(now, state[0])))
+        release(edges.sparkSession)
         state, before = _state(now), state
         if state == before:
             break
@@ -313,12 +314,12 @@ def links_between(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarra
     return out
 
 
-def _remaining(buckets: DataFrame, components: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (u, v) between components that still share a bucket."""
-    placed = buckets.join(components, "node", "left").select("key", "node", "w", F.coalesce("component", "node").alias("component"))
+def _remaining(buckets: DataFrame, components: DataFrame, sets: DataFrame, weights: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) between components that still share a bucket; ``weights`` has the shingles w of a node."""
+    placed = buckets.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     torn = placed.groupBy("key").agg(F.min("component").alias("group"), F.max("component").alias("high"))
     torn = torn.filter(F.col("group") != F.col("high")).select("key", "group")
-    members = cut(placed.join(torn, "key").select("group", "node", "w", "component").distinct())
+    members = cut(placed.join(torn, "key").select("group", "node", "component").distinct().join(weights, "node").select("group", "node", "w", "component"))
     asked = F.col("component") != F.col("group")
     # Only groups of more than one block, by nodes or by shingles, are dealt.
     n_blocks = lambda n, w: F.ceil(F.greatest(F.lit(1), F.col(n) / F.lit(block), F.col(w) / F.lit(BLOCK_SHINGLES))).cast("int")
@@ -378,17 +379,20 @@ def _classes(
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     signed = cut(signatures(docs, id_col, text_col, bands, rows, shingle))
     reps, clash = _reps(signed.filter(F.col(own("id")).isNotNull() & (F.col("n_shingles") > 0)))
-    keyed = reps.select("node", "w", F.explode(own("bands")).alias("key")).distinct()
+    keyed = reps.select("node", F.explode(own("bands")).alias("key"))  # a set's bands have distinct keys
     low = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("high")).filter(F.col("u") != F.col("high"))
-    buckets = cut(keyed.join(low.select("key", "u"), "key").select("key", "node", "w", "u"))
+    buckets = cut(keyed.join(low.select("key", "u"), "key").select("key", "node", "u"))
     stars = buckets.filter(F.col("node") != F.col("u")).select("u", F.col("node").alias("v")).distinct()
     wanted = buckets.select("node").distinct()
     repeats = not signed.groupBy(own("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col(own("id")).isNotNull() & (F.col("n") > 1)).isEmpty()
     wanted = reps.join(wanted, "node", "left_semi") if repeats else wanted.withColumn("first", F.col("node"))
     sets = cut(_sets_of(docs, wanted, repeats, id_col, text_col, shingle, bands * rows))
+    release(docs.sparkSession)
     linked = cut(_confirmed(stars, sets, percent))
+    release(docs.sparkSession)
     first = connected_components(linked)
-    more = cut(_remaining(buckets.select("key", "node", "w"), first, sets, percent, block))
+    more = cut(_remaining(buckets.select("key", "node"), first, sets, reps.select("node", "w"), percent, block))
+    release(docs.sparkSession)
     every = linked.unionByName(more) if more.take(1) else None
     final = first if every is None else connected_components(every)
     named = reps.select(own("x"), own("y"), "first", "node", "n_left").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
