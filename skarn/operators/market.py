@@ -17,8 +17,9 @@ def normalize_constituents(df: DataFrame) -> DataFrame:
     """Any table of listed companies as Symbol, Security, Sector, Industry.
 
     Columns are recognised by their names, each target once, the first that fits;
-    a missing industry is the sector, a missing sector "Unknown".  Symbols have
-    ``-`` for ``.``; rows without a symbol are dropped.
+    a missing industry is the sector; a table without one of the others is an
+    error, so that ``first_source`` goes on.  Symbols have ``-`` for ``.``; rows
+    without a symbol are dropped.
     """
     clean = df.toDF(*[re.sub("[‐-―]", "-", c).strip() for c in df.columns])
     target: dict[str, str] = {}
@@ -32,15 +33,14 @@ def normalize_constituents(df: DataFrame) -> DataFrame:
             target.setdefault("Sector", c)
         elif "industry" in low:
             target.setdefault("Industry", c)
-    if "Symbol" not in target:
-        raise ValueError("no column of symbols")
-    col = lambda name, other: F.col(f"`{target[name]}`").cast("string") if name in target else other
-    sector = col("Sector", F.lit("Unknown"))
+    if missing := [c for c in REQUIRED[:3] if c not in target]:
+        raise ValueError(f"no column of {', '.join(missing)}")
+    col = {name: F.col(f"`{c}`").cast("string") for name, c in target.items()}
     out = clean.select(
-        F.regexp_replace(F.col(f"`{target['Symbol']}`").cast("string"), r"\.", "-").alias("Symbol"),
-        col("Security", F.lit(None).cast("string")).alias("Security"),
-        sector.alias("Sector"),
-        col("Industry", sector).alias("Industry"),
+        F.regexp_replace(col["Symbol"], r"\.", "-").alias("Symbol"),
+        col["Security"].alias("Security"),
+        col["Sector"].alias("Sector"),
+        col.get("Industry", col["Sector"]).alias("Industry"),
     )
     return out.na.drop(subset=["Symbol"])
 
@@ -59,17 +59,44 @@ def filter_by_industry(df: DataFrame, pattern: str) -> DataFrame:
 
 # --- sentiment ------------------------------------------------------------------------
 
-#: A small lexicon; a parameter.
-POSITIVE = "good great gain gains up strong growth beat beats profit surge the and".split()
-NEGATIVE = "bad loss losses down weak drop miss misses fear decline of in".split()
+#: A small lexicon of financial news, by valence; a parameter.
+_VALENCES = {
+    1.9: "good gain gains growth strong up beat beats rise rises rising profit profits positive improve improves improved benefit win wins confident higher upgrade upgraded",
+    3.1: "great excellent best outstanding surge surges surged soar soars soared rally breakthrough boom bullish triumph",
+    -1.9: "bad loss losses down weak weaker drop drops dropped miss misses missed fall falls fell decline declines lower negative concern concerns risk risks downgrade downgraded",
+    -3.1: "terrible worst crash crashes crashed plunge plunges plunged collapse collapsed fear fears fraud bankrupt bankruptcy scandal bearish crisis",
+}
+LEXICON = {w: v for v, words in _VALENCES.items() for w in words.split()}
+#: Words that turn what follows within three words, and by how much.
+NEGATIONS = "not no never none nor neither without cannot can't don't doesn't didn't isn't aren't wasn't weren't won't wouldn't couldn't shouldn't".split()
+NEGATED = -0.74
+#: Words that make the next one stronger or weaker.
+BOOSTERS = {
+    **dict.fromkeys("very extremely highly sharply strongly hugely really significantly".split(), 0.293),
+    **dict.fromkeys("slightly somewhat barely marginally partly".split(), -0.293),
+}
+
+
+def lexicon_score(text: Column, lexicon: dict[str, float] | None = None, negations: list[str] | None = None, boosters: dict[str, float] | None = None) -> Column:
+    """s / sqrt(s^2 + 15) of the sum of the words' valences, in -1 to 1.
+
+    The word before may boost a valence, a negation among the three words before
+    turns it.  Words are runs of a-z and '; null texts have no score.
+    """
+    lexicon, boosters = LEXICON if lexicon is None else lexicon, BOOSTERS if boosters is None else boosters
+    negations = NEGATIONS if negations is None else negations
+    valences, boosts = (F.create_map(*[F.lit(x) for w, v in m.items() for x in (w, float(v))]) for m in (lexicon, boosters))
 
+    def value(words: Column, w: Column, i: Column) -> Column:
+        v = F.try_element_at(valences, w)
+        boost = F.coalesce(F.try_element_at(boosts, F.get(words, i - 1)), F.lit(0.0))
+        negated = F.coalesce(F.exists(F.array(*[F.get(words, i - n) for n in (1, 2, 3)]), lambda x: x.isin(list(negations))), F.lit(False))
+        return F.when(w.isin(list(lexicon)), (v + F.signum(v) * boost) * F.when(negated, NEGATED).otherwise(1.0)).otherwise(0.0)
 
-def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
-    """s / sqrt(s^2 + 15) of the number of positive less negative words."""
-    words = F.split(F.lower(text), "[^a-z]+")
-    count = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(lexicon)))
-    s = (count(positive) - count(negative)).cast("double")
-    return s / F.sqrt(s * s + 15.0)
+    # The words are bound once, in an array of one, for the neighbours are asked for.
+    one = F.array(F.split(F.lower(text), "[^a-z']+"))
+    s = F.get(F.transform(one, lambda words: F.aggregate(F.transform(words, lambda w, i: value(words, w, i)), F.lit(0.0), lambda x, y: x + y)), F.lit(0))
+    return F.get(F.transform(F.array(s), lambda x: x / F.sqrt(x * x + 15.0)), F.lit(0))
 
 
 def daily_sentiment(scored: DataFrame, date: str, score: str) -> DataFrame:
@@ -264,19 +291,21 @@ def arimax_forecast(long: DataFrame, horizon: int, min_history: int = 30) -> Dat
             beta = float(dx @ dy / (dx @ dx)) if dx @ dx > 0 else 0.0
             u = dy - beta * dx
 
-            def residuals(phi: float, theta: float) -> np.ndarray:
-                e = np.zeros(len(u))
+            def residuals(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+                """A row a day, a column a candidate."""
+                e = np.zeros((len(u), len(phi)))
                 for t in range(1, len(u)):
                     e[t] = u[t] - phi * u[t - 1] - theta * e[t - 1]
                 return e
 
-            best, width = (0.0, 0.0), 0.9
+            best, width = np.zeros(2), 0.9
             for _ in range(3):
-                grid = [(best[0] + a * width, best[1] + b * width) for a in np.linspace(-1, 1, 7) for b in np.linspace(-1, 1, 7)]
-                best = min((g for g in grid if max(map(abs, g)) < 0.99), key=lambda g: float(np.sum(residuals(*g) ** 2)))
+                grid = np.stack(np.meshgrid(*[np.linspace(-1, 1, 7)] * 2, indexing="ij"), -1).reshape(-1, 2) * width + best
+                grid = grid[np.abs(grid).max(axis=1) < 0.99]
+                best = grid[(residuals(*grid.T) ** 2).sum(axis=0).argmin()]
                 width /= 4
-            phi, theta = best
-            e = residuals(phi, theta)
+            phi, theta = map(float, best)
+            e = residuals(best[:1], best[1:])[:, 0]
             sigma = float(np.sqrt(np.mean(e[1:] ** 2)))
             future = float(np.mean(x[-5:]))
             days = pd.bdate_range(pd.Timestamp(pdf["date"].iloc[-1]) + pd.Timedelta(days=1), periods=horizon)

@@ -77,17 +77,30 @@ def report_file_names(spark, sf_dir):
 # --- sentiment ----------------------------------------------------------------------------
 
 
+#: The given texts are of made-up words, so the queries have a lexicon of frequent ones.
+_LEXICON, _NEGATIONS, _BOOSTERS = {"the": 1.9, "and": 3.1, "of": -1.9, "in": -3.1}, ["to", "not"], {"is": 0.293, "a": -0.293}
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     date = F.date_add(F.lit(datetime.date(1992, 1, 1)), (F.col("doc_id") % 60).cast("int"))
-    return d.select("doc_id", date.alias("date"), M.lexicon_score(F.col("text"), M.POSITIVE, M.NEGATIVE).alias("score"))
+    return d.select("doc_id", date.alias("date"), M.lexicon_score(F.col("text"), _LEXICON, _NEGATIONS, _BOOSTERS).alias("score"))
+
+
+def _case(word: str, values: dict[str, float]) -> str:
+    return f"CASE {word} {' '.join(f"WHEN '{w}' THEN {v}" for w, v in values.items())} ELSE 0.0 END"
 
 
-_POS, _NEG = (", ".join(f"'{w}'" for w in words) for words in (M.POSITIVE, M.NEGATIVE))
-_SENT = f"""scored AS (
+_NOT = ", ".join(f"'{w}'" for w in _NEGATIONS)
+_SENT = f"""valued AS (
+    SELECT doc_id, list_transform(w, lambda x, i: CAST({_case("x", _LEXICON)} AS DOUBLE)) AS v,
+           list_transform(w, lambda x, i: CAST({_case("x", _BOOSTERS)} AS DOUBLE)) AS b, list_transform(w, lambda x, i: x IN ({_NOT})) AS neg
+    FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z'']+') AS w FROM documents WHERE text IS NOT NULL)
+), scored AS (
     SELECT doc_id, DATE '1992-01-01' + CAST(doc_id % 60 AS INTEGER) AS date, n / sqrt(n * n + 15.0) AS score FROM (
-        SELECT doc_id, CAST(len(list_filter(w, lambda x: x IN ({_POS}))) - len(list_filter(w, lambda x: x IN ({_NEG}))) AS DOUBLE) AS n
-        FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents WHERE text IS NOT NULL))
+        SELECT doc_id, list_sum(list_transform(v, lambda x, i: (x + sign(x) * coalesce(b[greatest(i - 1, 0)], 0))
+            * CASE WHEN coalesce(neg[greatest(i - 1, 0)], false) OR coalesce(neg[greatest(i - 2, 0)], false) OR coalesce(neg[greatest(i - 3, 0)], false)
+                   THEN {M.NEGATED} ELSE 1 END)) AS n FROM valued)
 ), daily AS (
     SELECT date, count(*) FILTER (WHERE score >= 0.05) AS pos, count(*) FILTER (WHERE score <= -0.05) AS neg,
            count(*) FILTER (WHERE score < 0.05 AND score > -0.05) AS neu, count(*) AS total, avg(score) AS sentiment_score FROM scored GROUP BY date

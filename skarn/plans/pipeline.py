@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,7 @@ class Config:
     min_history: int = 30
     max_tickers: int = 20
     cache_hours: float = 24
-    positive: tuple[str, ...] = tuple(M.POSITIVE)
-    negative: tuple[str, ...] = tuple(M.NEGATIVE)
+    lexicon: dict[str, float] = field(default_factory=lambda: dict(M.LEXICON))
 
 
 class Pipeline:
@@ -36,7 +35,7 @@ class Pipeline:
     def sentiment(self) -> DataFrame:
         if self.news is None:
             return self.spark.createDataFrame([], "date date, pos long, neg long, neu long, total long, sentiment_score double")
-        score = M.lexicon_score(F.col("text"), list(self.config.positive), list(self.config.negative))
+        score = M.lexicon_score(F.col("text"), self.config.lexicon)
         return M.daily_sentiment(self.news.withColumn("score", score), "publishedAt", "score")
 
     def run(self, industry: str, lookback_months: int = 6) -> dict[str, Any]:

@@ -155,6 +155,25 @@ def test_constituents_and_filter(spark):
         M.filter_by_industry(c, "  ")
 
 
+def test_constituents_without_a_required_column(spark):
+    for raw in ("Ticker string, Sector string", "Ticker string, Company string", "Company string, Sector string"):
+        with pytest.raises(ValueError):
+            M.normalize_constituents(spark.createDataFrame([("x", "y")], raw))
+    no_industry = M.normalize_constituents(spark.createDataFrame([("x", "y", "z")], "Ticker string, Company string, Sector string"))
+    assert no_industry.first()["Industry"] == "z"
+
+
+def test_lexicon_score(spark):
+    texts = {
+        "A good year": 1.9, "a VERY good year": 2.193, "not a good year": -0.74 * 1.9, "it wasn't very good": -0.74 * 2.193,
+        "no one said that good": 1.9, "slightly bad, great": -1.607 + 3.1, "the and of in": 0.0, "": 0.0, "good": 1.9, "not": 0.0,
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = {r["text"]: r["score"] for r in df.select("text", M.lexicon_score(F.col("text")).alias("score")).collect()}
+    assert got.pop(None) is None
+    assert got == {t: pytest.approx(s / (s * s + 15) ** 0.5) for t, s in texts.items()}
+
+
 def test_sentiment_join_and_forecast(spark):
     days = [d for d in (datetime.date(2024, 1, 1) + datetime.timedelta(days=i) for i in range(60)) if d.weekday() < 5][:40]
     prices = spark.createDataFrame([("A", d, 100.0 + i) for i, d in enumerate(days)], "ticker string, date date, close double")
